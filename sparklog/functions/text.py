@@ -12,9 +12,9 @@ ANSI_ESCAPE = r"\x1B\[[0-?]*[ -/]*[@-~]"
 # What counts as a secret in a log line, and what takes its place.
 SECRET_PATTERNS = [
     (r"(?i)([?&](?:key|api_key|apikey|token|access_token|password)=)[^&\s\"'<>]+", "$1***"),
-    (r"(?i)(\bauthorization[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic)\s+)?)[^\s\"',]+", "$1***"),
-    (r"(?i)(\b(?:set-)?cookie[\"']?\s*:\s*)[^\r\n]+", "$1***"),
-    (r"(?i)(\b(?:password|passwd|secret|api[_-]?key|token)[\"']?\s*[:=]\s*[\"']?)[^\s\"',&]+", "$1***"),
+    (r"(?i)(authorization[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic)\s+)?)[^\s\"',]+", "$1***"),
+    (r"(?i)(cookie[\"']?\s*:\s*)[^\r\n]+", "$1***"),
+    (r"(?i)((?:password|passwd|secret|api[_-]?key|token)[\"']?\s*[:=]\s*[\"']?)[^\s\"',&]+", "$1***"),
 ]
 
 

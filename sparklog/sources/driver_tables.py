@@ -25,10 +25,21 @@ def _severity(event_type: Column) -> Column:
     )
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events file as a stream of log rows."""
+    schema = table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return events_as_logs(reader.parquet(sf_dir))
+
+
 def logs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_as_logs(table(spark, sf_dir, "events"))
+
+
+def events_as_logs(events: DataFrame) -> DataFrame:
     """Events as log rows. ``ts`` stays as a column so that time bounds reach the Parquet scan."""
     time_ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("record_id"),
         time_ns.alias("time_ns"),
         (time_ns + F.col("event_id") % 1000 * 1_000_000_000).alias("ingest_ns"),

@@ -59,9 +59,6 @@ def read_batches_stream(
     return _with_source(reader.format("text").load(path))
 
 
-def _oversize() -> Column:
-    return F.octet_length("value") > MAX_BATCH_BYTES
-
 
 def _breaks_format(json_text: Column) -> Column:
     """Not exactly one JSON object, or a field name the format does not define."""
@@ -83,13 +80,16 @@ def parse_batches(batches: DataFrame, strict: bool = True) -> DataFrame:
 
     ``strict`` also refuses batches with field names the format does not define.
     """
+    # A converted batch brings the size of the body it was made from.
+    size = F.col("body_bytes") if "body_bytes" in batches.columns else F.octet_length("value")
+    oversize = size > MAX_BATCH_BYTES
     parsed = (
         batches.where(F.trim("value") != "")
         .withColumn("batch_key", F.md5(F.concat_ws("|", "source", "value")))
         .withColumn(
             "parsed",
             F.from_json(
-                F.when(~_oversize(), F.col("value")),
+                F.when(~oversize, F.col("value")),
                 BATCH_SCHEMA,
                 {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"},
             ),
@@ -98,7 +98,7 @@ def parse_batches(batches: DataFrame, strict: bool = True) -> DataFrame:
     bad = F.col("parsed").isNull() | F.col("parsed.malformed").isNotNull()
     if strict:
         bad = bad | F.coalesce(_breaks_format(F.col("value")), F.lit(True))
-    reason = F.when(_oversize(), "oversize").when(bad, "bad_format")
+    reason = F.when(oversize, "oversize").when(bad, "bad_format")
     return (
         parsed.withColumn("batch_reject", reason)
         .withColumn("batch", F.when(F.col("batch_reject").isNull(), F.col("parsed.resourceLogs")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from sparklog.functions.times import event_time
 from sparklog.schema import SEVERITY_FLOORS
@@ -38,3 +41,28 @@ def error_rate_stream(stream: DataFrame, window: str = "5 minutes", threshold: f
     return rates.where(over).select(
         (F.unix_micros("window.start") * 1000).alias("window_ns"), "service", "errors", "records"
     )
+
+
+def write_latest(counts: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write a running aggregation in update mode: each micro-batch adds the groups it changed.
+
+    A batch overwrites its own folder, so a replay changes nothing.
+    """
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(os.path.join(path, f"update={batch_id}"))
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
+    return (
+        counts.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def read_latest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
+    """The newest state of every group that ``write_latest`` wrote."""
+    newest = F.max_by(F.struct(*values), "update").alias("newest")
+    return spark.read.parquet(path).groupBy(*keys).agg(newest).select(*keys, "newest.*")
