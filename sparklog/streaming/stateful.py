@@ -1,17 +1,17 @@
 """Per-key limits that remember earlier micro-batches.
 
-State is one or two numbers per key. A micro-batch's rows of one key are sorted in one task,
+State is one number per key, or one per key and recent minute. A micro-batch's rows of one key are sorted in one task,
 so bound the micro-batch (maxFilesPerTrigger, maxBytesPerTrigger) where a key may flood.
 """
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sparklog.functions.times import floor_div
-from sparklog.schema import NS_PER_SECOND, RATE_LIMIT_PER_MINUTE, THROTTLE_GAP_NS
+from sparklog.schema import MAX_RECORD_AGE_NS, NS_PER_SECOND, RATE_LIMIT_PER_MINUTE, THROTTLE_GAP_NS
 
 
 def throttle_stream(stream: DataFrame, key: str, gap_ns: int = THROTTLE_GAP_NS) -> DataFrame:
@@ -33,27 +33,26 @@ def throttle_stream(stream: DataFrame, key: str, gap_ns: int = THROTTLE_GAP_NS)
     )
 
 
-def rate_limit_stream(
-    stream: DataFrame, key: str, per_minute: int = RATE_LIMIT_PER_MINUTE, forget_after: str = "1 hour"
-) -> DataFrame:
+def rate_limit_stream(stream: DataFrame, key: str, per_minute: int = RATE_LIMIT_PER_MINUTE) -> DataFrame:
     """At most ``per_minute`` rows per key and clock minute, counted across micro-batches.
 
-    The count of a minute is forgotten once no row of it has come for ``forget_after``.
+    The state holds the counts of a key's last 24 hours of minutes: what is older was refused
+    as too old at ingest. No watermark and no timeout, so one fast clock affects only its key.
     """
-    amount, unit = forget_after.split()
-    millis = int(amount) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")] * 1000
+    minute_ns = 60 * NS_PER_SECOND
+    kept_minutes = MAX_RECORD_AGE_NS // minute_ns
 
     def keep_first(group, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(frames)).sort_values(["time_ns", "record_id"], kind="stable")
-        used = state.get[0] if state.exists else 0
-        state.update((used + len(rows),))
-        state.setTimeoutDuration(millis)
-        yield rows.head(max(0, per_minute - used)).drop(columns="rate_minute")
-
-    minutes = stream.withColumn("rate_minute", floor_div(F.col("time_ns"), 60 * NS_PER_SECOND))
-    return minutes.groupBy(key, "rate_minute").applyInPandasWithState(
-        keep_first, stream.schema, "used long", "append", "ProcessingTimeTimeout"
+        used = {int(m): n for m, n in json.loads(state.get[0]).items()} if state.exists else {}
+        minute = rows["time_ns"] // minute_ns
+        place = minute.map(used).fillna(0) + rows.groupby(minute).cumcount()
+        for number, count in minute.value_counts().items():
+            used[int(number)] = used.get(int(number), 0) + int(count)
+        oldest = max(used) - kept_minutes
+        state.update((json.dumps({m: n for m, n in used.items() if m >= oldest}),))
+        yield rows[place < per_minute]
+
+    return stream.groupBy(key).applyInPandasWithState(
+        keep_first, stream.schema, "used string", "append", "NoTimeout"
     )
