@@ -20,7 +20,7 @@ ANY_VALUE = (
 
 # Levels of nesting the generated expression unwraps. Deeper values leave it as their wire
 # text behind a mark, and ``unwrap_deep`` finishes the few rows that carry one.
-NESTING = 2
+NESTING = 1
 DEEP_MARK = "\u0001otlp:"
 
 
@@ -49,11 +49,15 @@ def _scalar_variant(any_value: Column) -> Column:
     )
 
 
+def _marked(any_value: Column) -> Column:
+    nested = any_value["arrayValue"].isNotNull() | any_value["kvlistValue"].isNotNull()
+    return F.when(nested, F.concat(F.lit(DEEP_MARK), F.to_json(any_value)))
+
+
 def _nested_variant(any_value: Column, depth: int) -> Column:
     array, pairs = any_value["arrayValue"], any_value["kvlistValue"]
     if depth == 0:
-        raw = F.when(array.isNotNull() | pairs.isNotNull(), F.to_json(any_value))
-        return F.concat(F.lit(DEEP_MARK), raw).cast("variant")
+        return _marked(any_value).cast("variant")
 
     def plain(raw: Column) -> Column:
         return _let(F.from_json(raw, ANY_VALUE), lambda inner: to_variant(inner, depth - 1))
@@ -120,7 +124,10 @@ def _general_form(number: Column) -> Column:
 
 
 def to_text(any_value: Column) -> Column:
-    """Best-effort text: nested values as JSON, bytes as hex, unset as the empty string."""
+    """Best-effort text: bytes as hex, unset as the empty string.
+
+    A nested value comes out marked, for ``unwrap_deep`` to turn into plain JSON.
+    """
     return _let(any_value, _text)
 
 
@@ -131,7 +138,7 @@ def _text(any_value: Column) -> Column:
         any_value["intValue"].try_cast("bigint").cast("string"),
         F.when(any_value["doubleValue"].isNotNull(), format_double(_double(any_value))),
         F.lower(F.hex(F.try_to_binary(any_value["bytesValue"], F.lit("base64")))),
-        F.to_json(_nested_variant(any_value, NESTING)),
+        _marked(any_value),
         F.lit(""),
     )
 
@@ -172,7 +179,8 @@ def _deep_finisher():
 
     def whole(text):
         try:
-            finished = finish(json.loads(text))
+            # A marked text by itself, or JSON with marked strings inside.
+            finished = plain(text[len(mark) :]) if text.startswith(mark) else finish(json.loads(text))
         except ValueError:
             return text  # the mark stood in ordinary text
         return json.dumps(finished, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
@@ -185,5 +193,5 @@ def _deep_finisher():
 
 def unwrap_deep(json_text: Column) -> Column:
     """JSON text with marked deep values unwrapped. Unmarked rows send only a NULL to Python."""
-    marked = json_text.contains(json.dumps(DEEP_MARK)[1:-1])
+    marked = json_text.startswith(DEEP_MARK) | json_text.contains(json.dumps(DEEP_MARK)[1:-1])
     return F.coalesce(_deep_finisher()(F.when(marked, json_text)), json_text)

@@ -16,6 +16,8 @@ SECRET_PATTERNS = [
     (r"(?i)(cookie[\"']?\s*:\s*)[^\r\n]+", "$1***"),
     (r"(?i)((?:password|passwd|secret|api[_-]?key|token)[\"']?\s*[:=]\s*[\"']?)[^\s\"',&]+", "$1***"),
 ]
+# Every pattern needs one of these words.
+SECRET_WORDS = ["key", "token", "password", "passwd", "secret", "authorization", "cookie"]
 
 
 def preview(message: Column, chars: int = PREVIEW_CHARS) -> Column:
@@ -26,11 +28,16 @@ def preview(message: Column, chars: int = PREVIEW_CHARS) -> Column:
 
 
 def strip_ansi(message: Column) -> Column:
-    return F.regexp_replace(message, ANSI_ESCAPE, "")
+    clean = F.regexp_replace(message, ANSI_ESCAPE, "")
+    return F.when(message.contains("\x1b"), clean).otherwise(message)
 
 
 def redact(message: Column) -> Column:
-    return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), SECRET_PATTERNS, message)
+    """Secrets masked. The rules run only on text that holds one of their words."""
+    lowered = F.lower(message)
+    suspicious = reduce(lambda a, b: a | b, [lowered.contains(word) for word in SECRET_WORDS])
+    masked = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), SECRET_PATTERNS, message)
+    return F.when(suspicious, masked).otherwise(message)
 
 
 def cut_bytes(message: Column, limit: int = MAX_RECORD_BYTES) -> Column:

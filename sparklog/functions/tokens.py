@@ -1,8 +1,8 @@
 """Word matching on message text: terms, phrases, prefixes, NEAR, and their combinations.
 
 Words are runs of letters, digits and private-use characters, compared without case and
-without Latin accents. Matching works on text folded to ``" word word "`` so a word, a
-phrase or a prefix is one substring test over the whole message.
+without Latin accents. A word, a phrase or a prefix is one regular expression over the whole
+message; its first letter comes first, so a scan rejects most positions on one character.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
+WORD = r"\p{L}\p{N}\p{Co}"
+SEPARATORS = f"[^{WORD}]+"
+MARKS = "\u0300-\u036f"
 
 # Lower-case Latin letters made of one base letter and one mark, found by rule, and the
 # combining marks themselves, which translate() deletes because they have no counterpart.
@@ -27,11 +29,25 @@ _ACCENTED = [
 _MARKS = [chr(code) for code in range(0x300, 0x370)]
 _FROM = "".join(_ACCENTED + _MARKS)
 _TO = "".join(unicodedata.normalize("NFD", char)[0] for char in _ACCENTED)
+_FOLDING = str.maketrans(_FROM[: len(_TO)], _TO, "".join(_MARKS))
+
+
+def _spellings() -> dict[str, str]:
+    """Folded character -> every character that folds to it."""
+    found: dict[str, list[str]] = {}
+    for char in map(chr, range(0x80, 0x3000)):
+        folded = char.lower().translate(_FOLDING)
+        if len(folded) == 1 and folded != char:
+            found.setdefault(folded, []).append(char)
+    return {folded: "".join(chars) for folded, chars in found.items()}
+
+
+_SPELLINGS = _spellings()
 
 
 def _words(text: str) -> list[str]:
     """The same folding for a search argument."""
-    folded = text.lower().translate(str.maketrans(_FROM[: len(_TO)], _TO, "".join(_MARKS)))
+    folded = text.lower().translate(_FOLDING)
     kept = [c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in folded]
     found = "".join(kept).split()
     if not found:
@@ -39,41 +55,58 @@ def _words(text: str) -> list[str]:
     return found
 
 
-def fold(message: Column) -> Column:
-    """Message as ``" word word "``."""
-    plain = F.translate(F.lower(message), _FROM, _TO)
-    return F.concat(F.lit(" "), F.regexp_replace(plain, SEPARATORS, " "), F.lit(" "))
+def _folded(message: Column, separate: Callable[[Column, str], Column]) -> Column:
+    """``separate`` on folded text. Plain ASCII takes the short way, with the same outcome."""
+    lowered = F.lower(message)
+    ascii_only = F.octet_length(message) == F.length(message)
+    return F.when(ascii_only, separate(lowered, "[^a-z0-9]+")).otherwise(
+        separate(F.translate(lowered, _FROM, _TO), SEPARATORS)
+    )
 
 
 def tokens(message: Column) -> Column:
     """Message as an array of folded words, in order."""
-    return F.filter(F.split(fold(message), " +"), lambda word: word != "")
+    return F.array_remove(_folded(message, F.split), "")
 
 
 class Match:
-    """A test on folded text. Combine with ``&``, ``|`` and ``~``; turn into a Column with ``on``."""
+    """A test on a message. Combine with ``&``, ``|`` and ``~``; turn into a Column with ``on``."""
 
     def __init__(self, test: Callable[[Column], Column]):
-        self._test = test
+        self.on = test
 
     def __and__(self, other: Match) -> Match:
-        return Match(lambda text: self._test(text) & other._test(text))
+        return Match(lambda message: self.on(message) & other.on(message))
 
     def __or__(self, other: Match) -> Match:
-        return Match(lambda text: self._test(text) | other._test(text))
+        return Match(lambda message: self.on(message) | other.on(message))
 
     def __invert__(self) -> Match:
-        return Match(lambda text: ~self._test(text))
+        return Match(lambda message: ~self.on(message))
+
+
+def _letter(char: str) -> str:
+    """Character class of every spelling; the rare ones stand behind one not-ASCII test."""
+    upper = char.upper() if len(char.upper()) == 1 else ""
+    common = "".join(dict.fromkeys(char + upper))
+    rare = "".join(c for c in _SPELLINGS.get(char, "") if c not in common)
+    return f"[{common}[[^\\x00-\\x7F]&&[{rare}]]]" if rare else f"[{common}]"
+
 
-    def on(self, message: Column) -> Column:
-        # exists() over a one-element array evaluates the folding once for all sub-tests.
-        return F.exists(F.array(fold(message)), self._test)
+def _pattern(words: list[str], whole: bool) -> str:
+    """The words in order with only separators between, starting and (if whole) ending a word."""
+    spelled = [f"[{MARKS}]{{0,4}}".join(_letter(c) for c in word) for word in words]
+    # Not inside a longer word; asked last, as it costs more than the letters.
+    start = f"(?<![{WORD}][{MARKS}]{{0,4}}{spelled[0]})"
+    body = f"[{MARKS}]*+[^{WORD}]++".join([spelled[0] + start, *spelled[1:]])
+    end = f"[{MARKS}]*+(?![{WORD}])" if whole else ""
+    return body + end
 
 
 def phrase(text: str) -> Match:
     """The words of ``text`` next to each other, in order. One word is a plain term."""
-    needle = f" {' '.join(_words(text))} "
-    return Match(lambda folded: folded.contains(needle))
+    pattern = _pattern(_words(text), whole=True)
+    return Match(lambda message: message.rlike(pattern))
 
 
 term = phrase
@@ -81,8 +114,8 @@ term = phrase
 
 def prefix(text: str) -> Match:
     """As a phrase, but the last word may go on."""
-    needle = f" {' '.join(_words(text))}"
-    return Match(lambda folded: folded.contains(needle))
+    pattern = _pattern(_words(text), whole=False)
+    return Match(lambda message: message.rlike(pattern))
 
 
 def _opens_at(array: Column, opening: list[str], others: list[list[str]], distance: int):
@@ -113,13 +146,12 @@ def near(*phrases: str, distance: int = 10) -> Match:
             found = found | F.exists(spots, _opens_at(array, opening, others, distance))
         return found
 
-    def test(folded: Column) -> Column:
+    def test(message: Column) -> Column:
         every = F.lit(True)
         for words in parts:
-            every = every & folded.contains(f" {' '.join(words)} ")
+            every = every & message.rlike(_pattern(words, whole=True))
         # The positional test runs only where every phrase occurs, so the array is not empty.
-        words = F.filter(F.split(folded, " +"), lambda w: w != "")
-        return F.when(every, F.exists(F.array(words), anywhere)).otherwise(F.lit(False))
+        return F.when(every, F.exists(F.array(tokens(message)), anywhere)).otherwise(F.lit(False))
 
     return Match(test)
 
