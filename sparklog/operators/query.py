@@ -21,8 +21,12 @@ Bound = int | str | dt.datetime | None
 
 def attribute(key: str, attrs: str = "attrs_json") -> Column:
     """One attribute as text; the bracket path keeps dotted keys whole."""
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(F.try_parse_json(attrs), f"$['{quoted}']", "string")
+    parsed = F.try_parse_json(attrs)
+    if "'" not in key and '"' not in key:
+        return F.try_variant_get(parsed, f"$['{key}']", "string")
+    # A path cannot hold quotes; a map lookup can.
+    value = F.try_element_at(parsed.try_cast("map<string, variant>"), F.lit(key))
+    return F.try_variant_get(value, "$", "string")
 
 
 def log_filter(

@@ -16,7 +16,7 @@ from sparklog.session import shared_dir
 
 # Rows of one key that a single task may fold.
 FOLD_ROWS = 20_000
-_NO_KEY = "__all__"
+_SLOT = "throttle_slot"
 
 
 def throttle(
@@ -26,8 +26,9 @@ def throttle(
 
     Rows are taken in (time_ns, record_id) order. Without keys all rows share one slot.
     """
-    named = df if keys else df.withColumn(_NO_KEY, F.lit(0))
-    by = list(keys) if keys else [_NO_KEY]
+    # As a struct, a NULL key is a key like any other in joins.
+    named = df.withColumn(_SLOT, F.struct(*(keys or [F.lit(0).alias("all")])))
+    by = [_SLOT]
     slim = named.select(*by, "time_ns", "record_id")
     sizes = slim.groupBy(*by).agg(
         F.count("*").alias("rows"), F.min("time_ns").alias("first_ns"), F.max("time_ns").alias("last_ns")

@@ -185,18 +185,15 @@ def rate_limit_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     from_logs("""SELECT service, severity, count(*) AS records FROM logs WHERE severity >= 9 OR day NOT IN (
-      SELECT day FROM logs GROUP BY day HAVING sum(strlen(message)) > (
-        SELECT avg(b) FROM (SELECT sum(strlen(message)) AS b FROM logs GROUP BY day))) GROUP BY ALL""")
+      SELECT day FROM logs GROUP BY day HAVING sum(strlen(message)) * 100 > count(*) * 1660) GROUP BY ALL""")
 )
 def disk_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Bytes of message text per day stand in for stored bytes; days above the average are full.
+    # Text bytes beyond 16.6 a row stand in for the stored bytes of a day.
     logs = logs_from_events(spark, sf_dir)
-    sizes = logs.groupBy("day").agg(F.sum(F.octet_length("message")).alias("text_bytes"))
-    average = sizes.agg(F.avg("text_bytes").alias("average"))  # one row
-    relative = sizes.join(average).select(
-        "day", F.when(F.col("text_bytes") > F.col("average"), 1).otherwise(0).alias("byte_size")
+    sizes = logs.groupBy("day").agg(
+        (F.sum(F.octet_length("message")) * 100 - F.count("*") * 1660).alias("byte_size")
     )
-    kept = safety.disk_guard(logs, relative, limit=0)
+    kept = safety.disk_guard(logs, sizes, limit=0)
     return kept.groupBy("service", "severity").agg(F.count("*").alias("records"))
 
 

@@ -173,6 +173,12 @@ def test_throttle_equals_brute_force(make_logs, gap, fold_rows):
     assert {r.record_id for r in kept.collect()} == wanted
 
 
+@pytest.mark.parametrize("fold_rows", [1, 100])
+def test_throttle_keeps_rows_without_key(make_logs, fold_rows):
+    logs = make_logs([{"logger": name, "time_ns": NOW + i} for name in (None, "a") for i in range(4)])
+    assert throttle(logs, ["logger"], 2, fold_rows).count() == 4
+
+
 def test_throttle_with_one_slot(make_logs):
     logs = make_logs([{"time_ns": NOW + i * 30 * SECOND, "service": str(i)} for i in range(5)])
     assert throttle(logs).count() == 3
