@@ -1,9 +1,12 @@
-"""OTLP AnyValue: the wire form (a one-of wrapper) to VARIANT and to text."""
+"""OTLP AnyValue: the wire form (a one-of wrapper) to VARIANT and to text.
+
+The expressions are SQL text for ``F.expr``: as Column calls they would cost several seconds
+of driver time in every micro-batch, nearly all of it Python-to-JVM round trips.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,122 +27,95 @@ NESTING = 1
 DEEP_MARK = "\u0001otlp:"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def _let(value: str, name: str, body: str) -> str:
     """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _double(any_value: Column) -> Column:
-    return any_value["doubleValue"].try_cast("double")
+def _double(value: str) -> str:
+    return f"try_cast({value}.doubleValue AS DOUBLE)"
 
 
-def is_finite(any_value: Column) -> Column:
+def is_finite(value: str) -> str:
     """False for a NaN or infinite double; JSON has no form for those."""
-    number = _double(any_value)
-    return ~F.coalesce(F.isnan(number) | (F.abs(number) == float("inf")), F.lit(False))
-
-
-def _scalar_variant(any_value: Column) -> Column:
-    return F.coalesce(
-        any_value["stringValue"].cast("variant"),
-        any_value["boolValue"].try_cast("boolean").cast("variant"),
-        any_value["intValue"].try_cast("bigint").cast("variant"),
-        F.when(is_finite(any_value), _double(any_value)).cast("variant"),
-        any_value["bytesValue"].cast("variant"),
-    )
+    number = _double(value)
+    return f"NOT coalesce(isnan({number}) OR abs({number}) = double('Infinity'), false)"
 
 
-def _marked(any_value: Column) -> Column:
-    nested = any_value["arrayValue"].isNotNull() | any_value["kvlistValue"].isNotNull()
-    return F.when(nested, F.concat(F.lit(DEEP_MARK), F.to_json(any_value)))
+def _marked(value: str) -> str:
+    nested = f"{value}.arrayValue IS NOT NULL OR {value}.kvlistValue IS NOT NULL"
+    return f"CASE WHEN {nested} THEN concat('{DEEP_MARK}', to_json({value})) END"
 
 
-def _nested_variant(any_value: Column, depth: int) -> Column:
-    array, pairs = any_value["arrayValue"], any_value["kvlistValue"]
+def _nested_variant(value: str, depth: int) -> str:
     if depth == 0:
-        return _marked(any_value).cast("variant")
-
-    def plain(raw: Column) -> Column:
-        return _let(F.from_json(raw, ANY_VALUE), lambda inner: to_variant(inner, depth - 1))
-
-    children = F.coalesce(
-        pairs["values"],
-        F.transform(array["values"], lambda raw: F.named_struct(F.lit("key"), F.lit(None).cast("string"), F.lit("value"), raw)),
-        F.array().cast("array<struct<key: string, value: string>>"),
-    )
-    entries = F.transform(
-        children,
-        lambda e: F.named_struct(
-            F.lit("key"), F.coalesce(e["key"], F.lit("")), F.lit("value"), plain(e["value"])
-        ),
+        return f"CAST({_marked(value)} AS VARIANT)"
+    e, raw, inner, items = (f"{name}{depth}" for name in ("e", "raw", "inner", "items"))
+    children = (
+        f"coalesce({value}.kvlistValue.values, transform({value}.arrayValue.values, "
+        f"{raw} -> named_struct('key', CAST(NULL AS STRING), 'value', {raw})), "
+        "CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING>>))"
     )
+    plain = _let(f"from_json({e}.value, '{ANY_VALUE}')", inner, to_variant(inner, depth - 1))
+    entries = f"transform({children}, {e} -> named_struct('key', coalesce({e}.key, ''), 'value', {plain}))"
     return _let(
         entries,
-        lambda items: F.when(pairs.isNotNull(), F.to_variant_object(F.map_from_entries(items))).when(
-            array.isNotNull(), F.to_variant_object(F.transform(items, lambda e: e["value"]))
-        ),
+        items,
+        f"CASE WHEN {value}.kvlistValue IS NOT NULL THEN to_variant_object(map_from_entries({items})) "
+        f"WHEN {value}.arrayValue IS NOT NULL THEN to_variant_object(transform({items}, {e} -> {e}.value)) END",
     )
 
 
-def to_variant(any_value: Column, depth: int = NESTING) -> Column:
+def to_variant(value: str, depth: int = NESTING) -> str:
     """Native VARIANT of an ANY_VALUE struct; an unset value is NULL."""
-    return F.coalesce(_scalar_variant(any_value), _nested_variant(any_value, depth))
+    return (
+        f"coalesce(CAST({value}.stringValue AS VARIANT), "
+        f"CAST(try_cast({value}.boolValue AS BOOLEAN) AS VARIANT), "
+        f"CAST(try_cast({value}.intValue AS BIGINT) AS VARIANT), "
+        f"CAST(CASE WHEN {is_finite(value)} THEN {_double(value)} END AS VARIANT), "
+        f"CAST({value}.bytesValue AS VARIANT), {_nested_variant(value, depth)})"
+    )
 
 
-def format_double(number: Column) -> Column:
+def format_double(number: str) -> str:
     """Shortest general form: 1e+06 from a million up, 1e-05 below 0.0001, no trailing ``.0``."""
-    return _let(number, _general_form)
-
-
-def _general_form(number: Column) -> Column:
-    text = number.cast("string")
-    size = F.abs(number)
-    bare = F.regexp_replace(text, r"\.0$", "")
+    text = "CAST(n AS STRING)"
     # Spark writes 1.5E7 and 2.0E-4: split off mantissa and exponent.
-    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-
-    def with_exponent(m: Column, e: Column) -> Column:
-        sign = F.when(e < 0, "e-").otherwise("e+")
-        digits = F.abs(e).cast("string")
-        return F.concat(m, sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
-
+    mantissa = rf"regexp_replace(split_part({text}, 'E', 1), r'\.0$', '')"
+    exponent = f"try_cast(split_part({text}, 'E', 2) AS INT)"
     # 1000000.0 up to 9999999.9 come without exponent: move the point six places.
-    seven = F.regexp_replace(text, r"^(-?\d)(\d{6})\.(\d+)$", r"$1.$2$3")
-    seven = F.regexp_replace(seven, r"\.?0+$", "")
+    moved = rf"regexp_replace({text}, r'^(-?\d)(\d{{6}})\.(\d+)$', '$1.$2$3')"
+    moved = rf"regexp_replace({moved}, r'\.?0+$', '')"
     # 0.0001 up to 0.000999 come as x.yE-4: write them out.
-    small = F.concat(
-        F.when(number < 0, "-0.000").otherwise("0.000"), F.regexp_replace(mantissa, r"[-.]", "")
+    small = f"concat(CASE WHEN n < 0 THEN '-0.000' ELSE '0.000' END, regexp_replace({mantissa}, r'[-.]', ''))"
+    scientific = (
+        f"concat({mantissa}, CASE WHEN {exponent} < 0 THEN 'e-' ELSE 'e+' END, "
+        f"CASE WHEN abs({exponent}) < 10 THEN '0' ELSE '' END, CAST(abs({exponent}) AS STRING))"
     )
-    return (
-        F.when(F.isnan(number), "NaN")
-        .when(number == float("inf"), "+Inf")
-        .when(number == float("-inf"), "-Inf")
-        .when(number == 0, bare)
-        .when((size >= 1e-4) & (size < 1e-3), small)
-        .when((size >= 1e6) & (size < 1e7), with_exponent(seven, F.lit(6)))
-        .when(exponent.isNotNull(), with_exponent(mantissa, exponent))
-        .otherwise(bare)
+    return _let(
+        number,
+        "n",
+        f"CASE WHEN isnan(n) THEN 'NaN' WHEN n = double('Infinity') THEN '+Inf' "
+        f"WHEN n = double('-Infinity') THEN '-Inf' "
+        f"WHEN abs(n) >= 1e-4 AND abs(n) < 1e-3 THEN {small} "
+        f"WHEN abs(n) >= 1e6 AND abs(n) < 1e7 THEN concat({moved}, 'e+06') "
+        f"WHEN {exponent} IS NOT NULL THEN {scientific} "
+        rf"ELSE regexp_replace({text}, r'\.0$', '') END",
     )
 
 
-def to_text(any_value: Column) -> Column:
+def to_text(value: str) -> str:
     """Best-effort text: bytes as hex, unset as the empty string.
 
     A nested value comes out marked, for ``unwrap_deep`` to turn into plain JSON.
     """
-    return _let(any_value, _text)
-
-
-def _text(any_value: Column) -> Column:
-    return F.coalesce(
-        any_value["stringValue"],
-        any_value["boolValue"].try_cast("boolean").cast("string"),
-        any_value["intValue"].try_cast("bigint").cast("string"),
-        F.when(any_value["doubleValue"].isNotNull(), format_double(_double(any_value))),
-        F.lower(F.hex(F.try_to_binary(any_value["bytesValue"], F.lit("base64")))),
-        _marked(any_value),
-        F.lit(""),
+    return _let(
+        value,
+        "av",
+        "coalesce(av.stringValue, CAST(try_cast(av.boolValue AS BOOLEAN) AS STRING), "
+        "CAST(try_cast(av.intValue AS BIGINT) AS STRING), "
+        f"CASE WHEN av.doubleValue IS NOT NULL THEN {format_double(_double('av'))} END, "
+        f"lower(hex(try_to_binary(av.bytesValue, 'base64'))), {_marked('av')}, '')",
     )
 
 

@@ -113,31 +113,30 @@ def rejected_batches(parsed: DataFrame) -> DataFrame:
     )
 
 
-def entries(pairs: Column) -> Column:
+def _listed(keys: list[str]) -> str:
+    return ", ".join(f"'{key}'" for key in keys)
+
+
+def entries(pairs: str) -> Column:
     """Attribute list as a map, the last of equal keys winning."""
-    named = F.transform(
-        pairs,
-        lambda kv: F.named_struct(
-            F.lit("key"), F.coalesce(kv["key"], F.lit("")), F.lit("value"), kv["value"]
-        ),
-    )
-    empty = F.create_map().cast(f"map<string, {ANY_VALUE}>")
-    return F.coalesce(F.map_from_entries(named), empty)
+    named = f"transform({pairs}, kv -> named_struct('key', coalesce(kv.key, ''), 'value', kv.value))"
+    return F.expr(f"coalesce(map_from_entries({named}), CAST(map() AS MAP<STRING, {ANY_VALUE}>))")
 
 
-def plain_attributes(attributes: Column, promoted: list[str]) -> Column:
+def plain_attributes(attributes: str, promoted: list[str]) -> Column:
     """Map of VARIANT without the promoted keys and without values JSON cannot hold."""
-    kept = F.map_filter(attributes, lambda k, v: ~k.isin(promoted) & is_finite(v))
-    return F.transform_values(kept, lambda k, v: to_variant(v))
+    kept = f"map_filter({attributes}, (k, v) -> k NOT IN ({_listed(promoted)}) AND {is_finite('v')})"
+    return F.expr(f"transform_values({kept}, (k, v) -> {to_variant('v')})")
 
 
-def text_attributes(attributes: Column, keys: list[str]) -> Column:
+def text_attributes(attributes: str, keys: list[str]) -> Column:
     """Map of text for the given keys only."""
-    return F.transform_values(F.map_filter(attributes, lambda k, v: k.isin(keys)), lambda k, v: to_text(v))
+    kept = f"map_filter({attributes}, (k, v) -> k IN ({_listed(keys)}))"
+    return F.expr(f"transform_values({kept}, (k, v) -> {to_text('v')})")
 
 
-def dropped_values(attributes: Column) -> Column:
-    return F.size(F.map_filter(attributes, lambda k, v: ~is_finite(v)))
+def dropped_values(attributes: str) -> Column:
+    return F.expr(f"size(map_filter({attributes}, (k, v) -> NOT ({is_finite('v')})))")
 
 
 def flatten(parsed: DataFrame) -> DataFrame:
@@ -151,14 +150,14 @@ def flatten(parsed: DataFrame) -> DataFrame:
     resources = parsed.select(
         "batch_key", "ingest_ns", F.posexplode_outer("batch").alias("resource_pos", "resource_logs")
     ).where(F.col("resource_logs").isNotNull())
-    resources = resources.withColumn("resource_map", entries(F.col("resource_logs.resource.attributes")))
+    resources = resources.withColumn("resource_map", entries("resource_logs.resource.attributes"))
     scopes = resources.select(
         "batch_key",
         "ingest_ns",
         "resource_pos",
-        text_attributes(F.col("resource_map"), promoted).alias("promoted"),
-        plain_attributes(F.col("resource_map"), promoted).alias("resource_attrs"),
-        dropped_values(F.col("resource_map")).alias("resource_dropped"),
+        text_attributes("resource_map", promoted).alias("promoted"),
+        plain_attributes("resource_map", promoted).alias("resource_attrs"),
+        dropped_values("resource_map").alias("resource_dropped"),
         F.posexplode_outer("resource_logs.scopeLogs").alias("scope_pos", "scope_logs"),
     ).where(F.col("scope_logs").isNotNull())
     carried = [c for c in scopes.columns if c != "scope_logs"]

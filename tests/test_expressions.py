@@ -133,10 +133,10 @@ def test_double_text(spark):
     rnd = random.Random(3)
     numbers = [1e6, 1234567.8, 123456.7, 1e-4, 1.5e-4, -1.5e-4, 1e-5, 1e21, 9999999.0, 1e7, -2.5e6, 0.001, 100.0]
     numbers += [rnd.choice([-1, 1]) * rnd.random() * 10 ** rnd.randint(-8, 12) for _ in range(300)]
-    got = column(spark, numbers, "double", anyvalue.format_double)
+    got = column(spark, numbers, "double", lambda c: F.expr(anyvalue.format_double("v")))
     wrong = [(x, g, general(x)) for x, g in zip(numbers, got) if float(g) != x or ("e" in g) != ("e" in general(x))]
     assert wrong == []
-    special = column(spark, [0.0, float("nan"), float("inf"), float("-inf")], "double", anyvalue.format_double)
+    special = column(spark, [0.0, float("nan"), float("inf"), float("-inf")], "double", lambda c: F.expr(anyvalue.format_double("v")))
     assert special == ["0", "NaN", "+Inf", "-Inf"]
 
 
