@@ -7,6 +7,7 @@ from conftest import HOUR, NOW, SECOND
 from pyspark.sql import functions as F
 
 from sparklog.operators.ingest import accepted, ingest_batches
+from sparklog.operators.safety import ingest_guards, rate_limit
 from sparklog.operators.throttle import throttle
 from sparklog.sources.log_table import read_logs
 from sparklog.sources.otlp_json import read_batches
@@ -52,7 +53,15 @@ def test_stream_equals_batch_and_resumes(spark, log_table, scratch):
 
     def run():
         start_ingest(
-            spark, landing, log_table, f"{base}/cp", rejects, "run", max_files_per_trigger=1, max_age_ns=far
+            spark,
+            landing,
+            log_table,
+            f"{base}/cp",
+            rejects,
+            "run",
+            max_files_per_trigger=1,
+            max_age_ns=far,
+            transform=ingest_guards,
         ).awaitTermination()
 
     land(landing, "a.json", [body("a", NOW, "1"), "broken"])
@@ -98,7 +107,5 @@ def test_stateful_limits_span_micro_batches(spark, scratch, make_logs):
     wanted = throttle(logs, ["service"], 40 * SECOND)
     assert sorted(spark.read.parquet(f"{spaced}/rows").collect()) == sorted(wanted.collect())
     drain(rate_limit_stream(stream(), "service", per_minute=3), limited)
-    from sparklog.operators.safety import rate_limit
-
     wanted = rate_limit(logs, "service", per_minute=3)
     assert sorted(spark.read.parquet(f"{limited}/rows").collect()) == sorted(wanted.collect())
