@@ -10,6 +10,8 @@ from sparklog.functions.tokens import near, phrase, prefix, term, tokens
 from sparklog.operators import correlate as correlation
 from sparklog.operators import query as q
 from sparklog.operators import search
+from sparklog.operators.safety import pin_service
+from sparklog.operators.summary import distinct_services_across, union_logs
 from sparklog.plans.registry import (
     SQL_LABEL,
     SQL_LOGS,
@@ -243,8 +245,6 @@ def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION SELECT role AS service FROM conversations"""
 )
 def services_across_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparklog.operators.summary import distinct_services_across
-
     sources = [logs_from_events, logs_from_documents, logs_from_conversations]
     return distinct_services_across([source(spark, sf_dir) for source in sources])
 
@@ -256,8 +256,6 @@ def services_across_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT service, count(*) AS records, count(logger) AS with_logger FROM everything GROUP BY service"""
 )
 def union_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparklog.operators.summary import union_logs
-
     sources = [logs_from_events, logs_from_documents, logs_from_conversations]
     rows = union_logs([source(spark, sf_dir) for source in sources])
     return rows.groupBy("service").agg(F.count("*").alias("records"), F.count("logger").alias("with_logger"))
@@ -268,8 +266,6 @@ def union_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM logs LEFT JOIN nation ON user_id % 30 = n_nationkey""")
 )
 def attribution_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparklog.operators.safety import pin_service
-
     owners = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("ingest_key"), F.col("n_name").alias("service")
     )

@@ -141,7 +141,7 @@ def test_double_text(spark):
 
 
 MESSAGES = [
-    "transcode buddy disconnected",
+    "upload worker disconnected",
     "Café déjà vu: the CAFE is closed",
     "user_id=42 failed; retry in 5s",
     "one two three four five six seven two one",
@@ -157,7 +157,7 @@ MESSAGES = [
 @pytest.mark.parametrize(
     ("match", "fts"),
     [
-        (tokens.term("buddy"), "buddy"),
+        (tokens.term("worker"), "worker"),
         (tokens.term("cafe"), "cafe"),
         (tokens.term("CAFÉ"), "cafe"),
         (tokens.term("deja"), "deja"),
@@ -169,10 +169,10 @@ MESSAGES = [
         (tokens.term("ete"), "ete"),
         (tokens.phrase("the cafe"), '"the cafe"'),
         (tokens.phrase("user id 42"), '"user id 42"'),
-        (tokens.prefix("trans"), "trans*"),
+        (tokens.prefix("uplo"), "uplo*"),
         (tokens.prefix("de"), "de*"),
         (tokens.term("two") & ~tokens.term("three"), "two NOT three"),
-        (tokens.term("buddy") | tokens.term("retry"), "buddy OR retry"),
+        (tokens.term("worker") | tokens.term("retry"), "worker OR retry"),
         (tokens.term("one") & tokens.term("two"), "one AND two"),
         (tokens.near("one", "five", distance=3), "NEAR(one five, 3)"),
         (tokens.near("one", "five", distance=2), "NEAR(one five, 2)"),

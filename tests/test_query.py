@@ -103,9 +103,9 @@ def test_correlate_in_time_order(make_logs):
 
 
 def test_search_with_filters(make_logs):
-    logs = make_logs([{"message": "transcode buddy disconnected"}, {"message": "buddy", "severity": 17}, {}])
-    assert search_logs(logs, term("buddy")).count() == 2
-    assert search_logs(logs, term("buddy"), min_severity="ERROR").count() == 1
+    logs = make_logs([{"message": "upload worker disconnected"}, {"message": "worker", "severity": 17}, {}])
+    assert search_logs(logs, term("worker")).count() == 2
+    assert search_logs(logs, term("worker"), min_severity="ERROR").count() == 1
 
 
 def test_summary_by_attribute(make_logs):
