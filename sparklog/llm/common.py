@@ -20,6 +20,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _row): `_row` holds all columns, so that no name of theirs can clash with a step's own."""
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row)
+
+
+def unpacked(rows: DataFrame, names: list[str], text: str | None = None) -> DataFrame:
+    """The columns in `_row`; with `text`, that column instead of the text, and its length as n_chars."""
+    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")} if text else {}
+    return rows.select(*[changed.get(name, F.col("_row")[name]).alias(name) for name in names])
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import stored, texts
+from sparklog.llm.common import packed, stored, unpacked
 from sparklog.llm.fm_index import FmIndex
 from sparklog.llm.words import NOT_WORDS, Words, slices
 
@@ -116,7 +116,7 @@ class Shard:
 
 
 def _shards(batch: pa.RecordBatch, phrases: Phrases, with_text: bool) -> Iterator[pa.RecordBatch]:
-    ids, text, old_spans, old_items = batch.columns
+    ids, text, old_spans, old_items, *carried = batch.columns
     rows = max(len(phrases.items), 1)
     for low, high, data, bounds in slices(text):
         words = Words(data, bounds, NOT_WORDS)
@@ -143,7 +143,9 @@ def _shards(batch: pa.RecordBatch, phrases: Phrases, with_text: bool) -> Iterato
             columns += [pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
             names = ["doc_id", "n_words", "spans", "items"]
             if with_text:
-                columns, names = [*columns, text.slice(low + from_, to - from_), pa.array(cut, pa.binary()).cast(pa.string())], [*names, "text", "cut"]
+                columns += [text.slice(low + from_, to - from_), pa.array(cut, pa.binary()).cast(pa.string())]
+                columns += [column.slice(low + from_, to - from_) for column in carried]
+                names += ["text", "cut", "_row"]
             yield pa.RecordBatch.from_arrays(columns, names)
             from_ = to
 
@@ -171,17 +173,14 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield block
 
 
-SCHEMA = "doc_id long, n_words long, spans array<array<long>>, items array<string>"
-
-
 def search(docs: DataFrame, benchmark: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, items) of each document: merged spans of hit words, [first, after the last].
 
-    With `with_text` also the text, and `cut`, the text without its spans. A benchmark of more
-    than one block takes a pass over the documents for each, written to the shared folder between.
+    With `with_text` also the text, `cut`, the text without its spans, and `_row`, all columns. A benchmark of
+    more than one block takes a pass over the documents for each, written to the shared folder between.
     """
     empty = F.array().cast("array<array<long>>").alias("spans"), F.array().cast("array<string>").alias("items")
-    state = texts(docs).select("doc_id", "text", *empty)
+    state = packed(docs).select("doc_id", "text", *empty, "_row")
     blocks = _blocks(benchmark)
     block = next(blocks, [])
     while True:
@@ -189,18 +188,28 @@ def search(docs: DataFrame, benchmark: DataFrame, with_text: bool = False) -> Da
         state = _pass(state, block, with_text or following is not None)
         if following is None:
             return state
-        state, block = stored(state, "spans").select("doc_id", "text", "spans", "items"), following
+        state, block = stored(state, "spans").select("doc_id", "text", "spans", "items", "_row"), following
 
 
 def _pass(state: DataFrame, block: list[tuple[str, str]], with_text: bool) -> DataFrame:
     shared = state.sparkSession.sparkContext.broadcast(block)
+    if not with_text:
+        state = state.drop("_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value)
         for batch in batches:
             yield from _shards(batch, phrases, with_text)
 
-    return state.mapInArrow(run, SCHEMA + (", text string, cut string" if with_text else ""))
+    schema = state.select("doc_id").schema.add("n_words", "long").add(state.schema["spans"]).add(state.schema["items"])
+    if with_text:
+        schema = schema.add("text", "string").add("cut", "string").add(state.schema["_row"])
+    return state.mapInArrow(run, schema)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs."""
+    return unpacked(search(docs, benchmark, with_text=True).where(F.size("spans") == 0), docs.columns)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import texts
+from sparklog.llm.common import packed, texts, unpacked
 
 WINDOW = 3
 
@@ -47,14 +47,13 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return met.where(~place.eqNullSafe(F.col("_first"))).groupBy("doc_id", "_text").agg(F.array_sort(F.collect_set("_pos")).alias("_starts"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, text): every text without its later windows."""
-    rows = texts(docs)
+def _cut(rows: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, *keep, n_lines, n_removed, text): every text without its later windows."""
     lost = later_windows(rows).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "_starts")
     joined = rows.withColumn("_text", F.xxhash64("text")).join(
         lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left"
     )
-    lines = joined.select("doc_id", "text", "_starts", F.split("text", "\n").alias("_lines"))
+    lines = joined.select("doc_id", *keep, "text", "_starts", F.split("text", "\n").alias("_lines"))
     # the stretches between one lost window's end and the next one's start
     before = F.concat(F.array(F.lit(-WINDOW)), F.col("_starts"))
     after = F.concat(F.col("_starts"), F.array(F.size("_lines")))
@@ -62,16 +61,33 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.zip_with(before, after, lambda a, b: F.slice(F.col("_lines"), a + WINDOW + 1, F.greatest(b - a - WINDOW, F.lit(0))))
     )
     cut = lines.select(
-        "doc_id", "text", F.size("_lines").cast("long").alias("n_lines"), F.when(F.col("_starts").isNotNull(), kept).alias("_kept")
+        "doc_id", *keep, "text", F.size("_lines").cast("long").alias("n_lines"), F.when(F.col("_starts").isNotNull(), kept).alias("_kept")
     )
     return cut.select(
         "doc_id",
+        *keep,
         "n_lines",
         F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("_kept", "\n"), F.col("text")).alias("text"),
     )
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text): every text without its later windows."""
+    return _cut(texts(docs))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, their texts without later windows, and n_chars anew.
+
+    A document that loses all it has is left out. A text that loses nothing stays as it is, null included.
+    """
+    rows = packed(docs)
+    slim = rows.select("doc_id", "text", rows["_row"].dropFields("text").alias("_row"), F.col("_row.text").isNull().alias("_null"))
+    cut = _cut(slim, "_row", "_null").where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return unpacked(cut.withColumn("text", F.when(~F.col("_null"), F.col("text"))), docs.columns, "text")
+
+
 ORACLE = """
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 places AS (SELECT doc_id, lines, unnest(range(0, greatest(len(lines) - 2, 1))) AS pos FROM split),

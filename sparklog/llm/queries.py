@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality, simhash, toxicity
+from sparklog.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality, secrets, simhash, toxicity
 from sparklog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.listing(table(spark, sf_dir, "documents"))
 
 
+@registered
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

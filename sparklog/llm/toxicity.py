@@ -20,13 +20,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from sparklog.llm.common import held_out, stored, texts
+from sparklog.llm.common import held_out, packed, stored, texts, unpacked
 from sparklog.llm.samples import labelled_sample
 
 PASS = 0.5
@@ -125,46 +125,49 @@ def lexicon_of(sample: DataFrame) -> dict[str, float]:
 
 
 def featured(docs: DataFrame, lexicon: dict[str, float], *keep: str) -> DataFrame:
-    """The columns `keep` and the vector `features` of each text, the first column."""
+    """The columns `keep` and the vector `features` of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    kept = docs.select("text", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(text.as_py(), shared.value) for text in batch.column(0)]
-            columns = [pa.array(column, pa.float64()) for column in zip(*rows, strict=True)] if rows else [pa.array([], pa.float64())] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*keep, *FEATURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.list_(pa.float64()))], [*keep, "features"])
 
-    schema = kept.select(*keep).schema
-    for name in FEATURES:
-        schema = schema.add(name, "double")
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(kept.mapInArrow(run, schema)).select(*keep, "features")
+    schema = docs.select(*keep).schema.add("features", ArrayType(DoubleType()))
+    return docs.select("text", *keep).mapInArrow(run, schema).withColumn("features", array_to_vector("features"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A function from (doc_id, text) rows to (doc_id, score)."""
+def fit(docs: DataFrame, labels: DataFrame) -> Callable[..., DataFrame]:
+    """A function from rows with a text, and the columns to keep, to these columns and the score."""
     sample = stored(labelled_sample(docs, labels, "toxic"), "toxic")
-    parts = {(row["g"], row["label"]): row["count"] for row in sample.groupBy(F.expr("CASE WHEN part < 4 THEN 0 WHEN part < 8 THEN 1 ELSE 2 END").alias("g"), "label").count().collect()}
-    if any((part, label) not in parts for part in (0, 1, 2) for label in (0, 1)):
-        toxic, total = sum(v for (_, label), v in parts.items() if label), sum(parts.values())
+    part = F.expr("CASE WHEN part < 4 THEN 0 WHEN part < 8 THEN 1 ELSE 2 END").alias("g")
+    sizes = {(row["g"], row["label"]): row["count"] for row in sample.groupBy(part, "label").count().collect()}
+    if any((g, label) not in sizes for g in (0, 1, 2) for label in (0, 1)):
+        toxic, total = sum(v for (_, label), v in sizes.items() if label), sum(sizes.values())
         share = toxic / total if total else 0.0
-        return lambda rows: rows.select("doc_id", F.lit(share).alias("score"))
+        return lambda rows, *keep: rows.select(*keep, F.lit(share).alias("score"))
     lexicon = lexicon_of(sample.where("part < 4"))
     rows = stored(featured(sample.where("part >= 4"), lexicon, "label", "part"), "features")
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=5, seed=7)
     model = trees.fit(rows.where("part < 8").coalesce(4))
-    raw = vector_to_array("rawPrediction")[1]
-    calibrated = IsotonicRegression(featuresCol="raw", labelCol="label").fit(model.transform(rows.where("part >= 8")).select("label", raw.alias("raw")))
+    raw = vector_to_array("rawPrediction")[1].alias("raw")
+    calibrated = IsotonicRegression(featuresCol="raw", labelCol="label").fit(model.transform(rows.where("part >= 8")).select("label", raw))
 
-    def scored(some: DataFrame) -> DataFrame:
-        found = model.transform(featured(some, lexicon, "doc_id")).select("doc_id", raw.alias("raw"), vector_to_array("probability")[1].alias("p"))
+    def scored(some: DataFrame, *keep: str) -> DataFrame:
+        found = model.transform(featured(some, lexicon, *keep)).select(*keep, raw, vector_to_array("probability")[1].alias("p"))
         # a little of the trees' own probability keeps the order within a step
-        return calibrated.transform(found).select("doc_id", F.least(F.greatest(F.col("prediction") * 0.98 + F.col("p") * 0.02, F.lit(0.0)), F.lit(1.0)).alias("score"))
+        blend = calibrated.transform(found).withColumn("score", F.col("prediction") * 0.98 + F.col("p") * 0.02)
+        return blend.select(*keep, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
     return scored
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that score below PASS."""
+    return unpacked(fit(docs, labels)(packed(docs), "_row").where(F.col("score") < PASS), docs.columns)
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    scores = fit(docs, labels)(texts(docs))
+    scores = fit(docs, labels)(texts(docs), "doc_id")
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PASS).cast("int").alias("predicted"))
