@@ -33,7 +33,7 @@ PASS = 0.5
 #: Most entries of the lexicon, which is sent to all tasks.
 LEXICON_ROWS = 5_000
 #: A word counts if its log-odds are so many standard errors from 0.
-DEVIATIONS = 3.5
+DEVIATIONS = 2.5
 #: Lengths of the word beginnings in the lexicon, in characters.
 BEGINNINGS = (4, 5, 6, 7)
 NEAR = 5
