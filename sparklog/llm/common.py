@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from sparklog.session import scratch_path
 
-#: A-Z, which the contracts lower-case alone, and their counterparts.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,10 +28,6 @@ def unpacked(rows: DataFrame, names: list[str], text: str | None = None) -> Data
     return rows.select(*[changed.get(name, F.col("_row")[name]).alias(name) for name in names])
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once to the shared folder and read again: later steps start from the files."""
     path = scratch_path(df.sparkSession, name)

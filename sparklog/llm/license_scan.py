@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import lower_ascii, texts
+from sparklog.llm.common import stored, texts
 from sparklog.llm.license_rules import all_rules
 
 #: The phrases of the base and their labels.
@@ -27,19 +27,29 @@ RANKS = (1, 2, 3)
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(text), NOT_WORD), lambda w: w != "")
+    """The words; lower-casing other letters too splits them alike, and makes no ASCII phrase that was none."""
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, _text, _words): the key tells different texts of one id apart."""
-    return texts(docs).select("doc_id", F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("_words"))
+def prepared(docs: DataFrame) -> DataFrame:
+    """(doc_id, _text, n_words, _places, _joined) of every row, in one pass over the texts.
 
-
-def base_places(keyed: DataFrame) -> DataFrame:
-    """(doc_id, _text, n_words, _places) of every row; only texts with a phrase's words are looked through."""
-    maybe = reduce(lambda x, y: x | y, (reduce(lambda x, y: x & y, (F.array_contains("_words", w) for w in p.split())) for p, _ in PHRASES))
-    named = keyed.select("doc_id", "_text", F.col("_words").alias("a"), F.slice("_words", 2, F.size("_words")).alias("b"), F.slice("_words", 3, F.size("_words")).alias("c"), F.size("_words").cast("long").alias("n_words"), maybe.alias("_maybe"))
-    return named.select("doc_id", "_text", "n_words", F.when(F.col("_maybe"), _labelled(F.arrays_zip("a", "b", "c"))).alias("_places"))
+    _text tells different texts of one id apart. _places are the base's, and _joined the words of texts
+    that hold the first word of some keyword or phrase, joined by spaces; null in all others.
+    """
+    first_words = sorted({r.keyword.split()[0] for r in all_rules()} | {phrase.split()[0] for phrase, _ in PHRASES})
+    words = texts(docs).select("doc_id", F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("a"))
+    gate = F.arrays_overlap("a", F.array(*map(F.lit, first_words)))
+    shifted = words.select(
+        "doc_id", "_text", "a", F.slice("a", 2, F.size("a")).alias("b"), F.slice("a", 3, F.size("a")).alias("c"), gate.alias("_gate")
+    )
+    return shifted.select(
+        "doc_id",
+        "_text",
+        F.size("a").cast("long").alias("n_words"),
+        F.when(F.col("_gate"), _labelled(F.arrays_zip("a", "b", "c"))).alias("_places"),
+        F.when(F.col("_gate"), F.array_join("a", " ")).alias("_joined"),
+    )
 
 
 def _labelled(three: Column) -> Column:
@@ -54,21 +64,19 @@ def _labelled(three: Column) -> Column:
     return F.filter(each, lambda p: p["label"].isNotNull())
 
 
-def rule_hits(keyed: DataFrame) -> DataFrame:
+def rule_hits(rows: DataFrame) -> DataFrame:
     """(doc_id, _text, start, end, rank, rule, label): every match of every rule, unsuppressed.
 
     start and end count characters of the words joined by single spaces.
     """
     rules = all_rules()
-    keywords = sorted({rule.keyword for rule in rules})
     table = F.array(
         *[
             F.struct(F.lit(n).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(rf"(?<![^ ])(?:{r.pattern})(?![^ ])").alias("pattern"), F.lit(r.rank).alias("rank"))
             for n, r in enumerate(rules)
         ]
     )
-    joined = keyed.select("doc_id", "_text", F.array_join("_words", " ").alias("_joined"))
-    gated = joined.where(F.col("_joined").rlike("|".join(keywords))).distinct()
+    gated = rows.where("_joined IS NOT NULL").select("doc_id", "_text", "_joined").dropDuplicates(["doc_id", "_text"])
     tried = gated.select("doc_id", "_text", "_joined", F.explode(table).alias("_r")).where(F.expr("contains(_joined, _r.keyword)"))
     matched = tried.select(
         "doc_id", "_text", "_r.rule", "_r.label", "_r.rank",
@@ -104,13 +112,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
     score is the highest rank of what is left, over 3, and at least 0.5 if the base found a place.
     """
-    keyed = _keyed(docs)
+    base = stored(prepared(docs), "licenses")
     found = (
-        unsuppressed(rule_hits(keyed))
+        unsuppressed(rule_hits(base))
         .groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"))
         .agg(F.collect_set("label").alias("_labels"), F.max("rank").alias("_rank"))
     )
-    base = base_places(keyed)
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
     places = F.coalesce(F.col("_places"), F.array().cast("array<struct<at:bigint,label:string>>"))
     rows = joined.select("doc_id", "n_words", places.alias("_places"), F.coalesce("_labels", F.array().cast("array<string>")).alias("_labels"), "_rank")
