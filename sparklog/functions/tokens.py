@@ -95,10 +95,10 @@ def _letter(char: str) -> str:
 
 def _pattern(words: list[str], whole: bool) -> str:
     """The words in order with only separators between, starting and (if whole) ending a word."""
-    spelled = [f"[{MARKS}]{{0,4}}".join(_letter(c) for c in word) for word in words]
-    # Not inside a longer word; asked last, as it costs more than the letters.
-    start = f"(?<![{WORD}][{MARKS}]{{0,4}}{spelled[0]})"
-    body = f"[{MARKS}]*+[^{WORD}]++".join([spelled[0] + start, *spelled[1:]])
+    spelled = [f"[{MARKS}]*+".join(_letter(c) for c in word) for word in words]
+    # Not inside a longer word: marks may come before it, and before them the start or a separator.
+    start = f"(?:^|[^{WORD}{MARKS}])[{MARKS}]*+"
+    body = start + f"[{MARKS}]*+[^{WORD}]++".join(spelled)
     end = f"[{MARKS}]*+(?![{WORD}])" if whole else ""
     return body + end
 

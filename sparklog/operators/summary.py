@@ -107,16 +107,6 @@ def partition_info(df: DataFrame) -> DataFrame:
     )
 
 
-def partition_bytes(stored: DataFrame) -> DataFrame:
-    """Per day: files and stored bytes of a file-backed table."""
-    files = stored.groupBy("day", F.col("_metadata.file_path").alias("file")).agg(
-        F.first("_metadata.file_size").alias("bytes")
-    )
-    return files.groupBy("day").agg(
-        F.count("*").alias("files"), F.sum("bytes").cast("bigint").alias("byte_size")
-    )
-
-
 def ingest_rate(df: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Rows and rows per second in each time bucket."""
     width = bucket_seconds * NS_PER_SECOND

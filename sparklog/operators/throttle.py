@@ -24,15 +24,17 @@ def throttle(
 ) -> DataFrame:
     """Rows kept: the first of each key, then each row at least ``gap_ns`` after the last kept.
 
-    Rows are taken in (time_ns, record_id) order. Without keys all rows share one slot.
+    Rows are taken in (time_ns, record_id) order. Without keys all rows share one slot. With a
+    gap of zero or less every row is due, so all are kept. ``fold_rows`` only says how a key is
+    worked on; what is kept does not depend on it.
     """
+    if gap_ns <= 0:
+        return df
     # As a struct, a NULL key is a key like any other in joins.
     named = df.withColumn(_SLOT, F.struct(*(keys or [F.lit(0).alias("all")])))
     by = [_SLOT]
     slim = named.select(*by, "time_ns", "record_id")
-    sizes = slim.groupBy(*by).agg(
-        F.count("*").alias("rows"), F.min("time_ns").alias("first_ns"), F.max("time_ns").alias("last_ns")
-    )
+    sizes = slim.groupBy(*by).agg(F.count("*").alias("rows"), F.min("time_ns").alias("first_ns"))
     big = sizes.where(F.col("rows") > fold_rows)
     if big.isEmpty():
         kept = _fold(slim, by, gap_ns)
@@ -58,14 +60,12 @@ def _fold(slim: DataFrame, by: list[str], gap_ns: int) -> DataFrame:
 
 def _chain(slim: DataFrame, big: DataFrame, by: list[str], gap_ns: int, fold_rows: int) -> DataFrame:
     shared_dir(slim.sparkSession)  # checkpoints below go to the shared folder
-    # Slices of time wide enough for about fold_rows rows of their key.
-    slices = F.call_function("div", F.col("rows"), F.lit(fold_rows).cast("bigint")) + 1
-    width = F.call_function("div", F.col("last_ns") - F.col("first_ns"), slices) + 1
-    scale = big.select(*by, "first_ns", width.alias("width"))
+    slices = big.agg(F.sum("rows")).first()[0] // fold_rows + 1
+    firsts = big.select(*by, "first_ns")
     instants = (
-        slim.groupBy(*by, "time_ns").agg(F.min("record_id").alias("record_id")).join(scale, by).checkpoint()
+        slim.groupBy(*by, "time_ns").agg(F.min("record_id").alias("record_id")).join(firsts, by).checkpoint()
     )
-    jump = _next_kept(instants, by, gap_ns).checkpoint()
+    jump = _next_kept(instants, by, gap_ns, slices).checkpoint()
     reached = instants.where(F.col("time_ns") == F.col("first_ns")).select(*by, "time_ns").checkpoint()
     while True:
         step = reached.withColumnRenamed("time_ns", "from_ns").join(jump, [*by, "from_ns"])
@@ -83,39 +83,27 @@ def _chain(slim: DataFrame, big: DataFrame, by: list[str], gap_ns: int, fold_row
     return instants.join(reached, [*by, "time_ns"], "left_semi").select(*by, "time_ns", "record_id")
 
 
-def _slice_of(at: Column) -> Column:
-    return F.call_function("div", at - F.col("first_ns"), F.col("width"))
-
-
-def _next_kept(instants: DataFrame, by: list[str], gap_ns: int) -> DataFrame:
+def _next_kept(instants: DataFrame, by: list[str], gap_ns: int, slices: int) -> DataFrame:
     """(key, from_ns, to_ns): the first instant at least ``gap_ns`` after each instant."""
-    seen = instants.select(
-        *by, _slice_of(F.col("time_ns")).alias("slice"), F.col("time_ns").alias("at"), F.col("time_ns").alias("seen")
-    )
-    asks = instants.select(
-        *by,
-        _slice_of(F.col("time_ns") + gap_ns).alias("slice"),
-        (F.col("time_ns") + gap_ns).alias("at"),
-        F.lit(None).cast("bigint").alias("seen"),
+    seen = instants.select(*by, F.col("time_ns").alias("at"), F.col("time_ns").alias("seen"))
+    asks = instants.select(*by, (F.col("time_ns") + gap_ns).alias("at"), F.lit(None).cast("bigint").alias("seen"))
+    # Slices hold about equally many rows, however far apart in time; one moment stays in one slice.
+    both = (
+        seen.unionByName(asks)
+        .repartitionByRange(2 * slices, *by, "at")
+        .withColumn("slice", F.spark_partition_id())
+        .checkpoint()
     )
     # Backwards in time, instants before the questions of the same moment: the last instant
     # seen so far is the nearest at or after.
     back = Window.partitionBy(*by, "slice").orderBy(F.desc("at"), F.col("seen").isNull())
     running = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    answered = (
-        seen.unionByName(asks)
-        .withColumn("here", F.last("seen", ignorenulls=True).over(running))
-        .where(F.col("seen").isNull())
-    )
+    answered = both.withColumn("here", F.last("seen", ignorenulls=True).over(running)).where(F.col("seen").isNull())
     # A question with nothing left in its slice goes to the first instant of a later slice.
-    firsts = seen.groupBy(*by, "slice").agg(F.min("seen").alias("first"))
-    asked = asks.select(*by, "slice").distinct().withColumn("first", F.lit(None).cast("bigint"))
-    later = Window.partitionBy(*by).orderBy(F.desc("slice"))
-    later = later.rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*by).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     after = (
-        firsts.unionByName(asked)
-        .groupBy(*by, "slice")
-        .agg(F.min("first").alias("first"))
+        both.groupBy(*by, "slice")
+        .agg(F.min("seen").alias("first"))
         .withColumn("later", F.min("first").over(later))
         .select(*by, "slice", "later")
     )

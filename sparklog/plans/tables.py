@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklog.operators import query as q
-from sparklog.operators.summary import distinct_services, partition_bytes
+from sparklog.operators.summary import distinct_services
 from sparklog.plans.reads import NEWEST, SINCE, SINCE_NS, UNTIL, UNTIL_NS
 from sparklog.plans.registry import SQL_SHOWN, from_logs, registered, shown
 from sparklog.session import scratch_path
@@ -68,9 +68,21 @@ def stored_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_services(store.read_logs(spark, stored_events(spark, sf_dir)))
 
 
-@registered()
+@registered(from_logs("SELECT CAST(day AS VARCHAR) AS day, true AS has_files, true AS has_bytes FROM logs GROUP BY day"))
 def stored_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition_bytes(spark.table(stored_events(spark, sf_dir)))
+    sizes = store.partition_bytes(spark, stored_events(spark, sf_dir))
+    return sizes.select(F.col("day").cast("string").alias("day"), (F.col("files") > 0).alias("has_files"), (F.col("byte_size") > 0).alias("has_bytes"))
+
+
+@registered(from_logs(f"{SQL_PER_DAY} WHERE day = DATE '2024-01-05' GROUP BY day"))
+def archived_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a day archived, the other half landing late and archived after it."""
+    name, path = new_table(spark), scratch_path(spark, "archive")
+    logs = logs_from_events(spark, sf_dir).where("day = DATE '2024-01-05'")
+    for batch, half in enumerate((F.col("severity") >= 9, F.col("severity") < 9)):
+        store.write_batch(logs.where(half), name, "half", batch)
+        store.archive(spark, name, path, ["2024-01-05"])
+    return _per_day(spark.read.parquet(path))
 
 
 @registered(from_logs(f"{SQL_PER_DAY} WHERE day NOT IN (DATE '2024-01-05', DATE '2024-01-09') GROUP BY day"))

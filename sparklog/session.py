@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 import tempfile
 import uuid
 
@@ -10,14 +12,14 @@ from pyspark.sql import SparkSession
 
 # Runtime SQL settings. LAST_WIN gives repeated attribute keys "last one wins"; dynamic
 # overwrite lets a replayed micro-batch replace only its own partitions; the window limit
-# lets row_number() <= n be cut on the map side for n up to the per-minute rate limit.
+# lets row_number() <= n be cut on the map side for any n that a rate limit would have.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2000000000",
 }
 
 
@@ -29,6 +31,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """Within it an overwrite replaces only the partitions it writes, whatever the session says."""
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def build_session(app_name: str = "sparklog", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:

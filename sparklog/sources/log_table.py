@@ -8,13 +8,14 @@ Partition lists come from the catalog: metadata of a few rows per day, never dat
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.operators.summary import partition_bytes
 from sparklog.schema import DISK_GUARD_BYTES, LOG_COLUMNS, LOG_SCHEMA, NS_PER_DAY, RETENTION_DAYS
+from sparklog.session import dynamic_overwrite
 
 # A Bloom filter on trace_id lets a trace lookup skip files; it grows only as far as needed.
 FILE_OPTIONS = {
@@ -53,7 +54,8 @@ def write_batch(df: DataFrame, table: str, run_id: str, batch_id: int) -> None:
         .sortWithinPartitions(*SORT_COLUMNS)
     )
     columns = [c for c in LOG_COLUMNS if c != "day"] + PARTITION_COLUMNS
-    rows.select(*columns).write.insertInto(table, overwrite=True)
+    with dynamic_overwrite(df.sparkSession):
+        rows.select(*columns).write.insertInto(table, overwrite=True)
 
 
 def read_logs(spark: SparkSession, table: str) -> DataFrame:
@@ -100,27 +102,55 @@ def retain(spark: SparkSession, table: str, now_ns: int, keep_days: int = RETENT
     return drop_days(spark, table, expired_days(spark, table, now_ns, keep_days))
 
 
+def _rows_of(spark: SparkSession, table: str, parts: list[dict[str, str]]) -> DataFrame:
+    """The rows of the listed partitions, and of no batch that came after the listing."""
+    days = sorted({p["day"] for p in parts})
+    listed = F.array(*[F.lit(f"{p['day']}/{p['run_id']}/{p['batch_id']}") for p in parts])
+    name = F.concat_ws("/", F.col("day").cast("string"), "run_id", F.col("batch_id").cast("string"))
+    return spark.table(table).where(F.col("day").isin([dt.date.fromisoformat(d) for d in days]) & F.array_contains(listed, name))
+
+
 def archive(spark: SparkSession, table: str, path: str, days: list[str], drop: bool = True) -> None:
-    """Copy days to zstd Parquet by day, then drop them from the table."""
-    if not days:
-        return
-    old = read_logs(spark, table).where(F.col("day").isin([dt.date.fromisoformat(d) for d in days]))
-    (
-        old.hint("rebalance", "day")
-        .sortWithinPartitions("day", "service", "severity", "time_ns")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .partitionBy("day")
-        .parquet(path)
+    """Copy days to zstd Parquet by day, then drop what was copied from the table.
+
+    A copy is named after the batches it holds (column ``archived``): archiving the same batches
+    again replaces it, archiving batches that came later adds to it, and only copied batches are dropped.
+    """
+    for day in sorted(set(days)):
+        parts = [p for p in _partitions(spark, table) if p["day"] == day]
+        if not parts:
+            continue
+        name = hashlib.sha256(json.dumps(sorted(f"{p['run_id']}/{p['batch_id']}" for p in parts)).encode()).hexdigest()[:16]
+        (
+            _rows_of(spark, table, parts)
+            .select(*LOG_COLUMNS)
+            .withColumn("archived", F.lit(name))
+            .repartitionByRange("service", "severity", "time_ns")
+            .sortWithinPartitions("service", "severity", "time_ns")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
+            .partitionBy("day", "archived")
+            .parquet(path)
+        )
+        if drop:
+            _drop(spark, table, parts)
+
+
+def partition_bytes(spark: SparkSession, table: str) -> DataFrame:
+    """Per day: files and stored bytes, from the listing of the table's files; no row is read."""
+    location = spark.sql(f"DESCRIBE FORMATTED {table}").where(F.col("col_name") == "Location").first().data_type
+    if not spark.sql(f"SHOW PARTITIONS {table}").limit(1).count():
+        return spark.createDataFrame([], "day date, files bigint, byte_size bigint")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(location)
+    return files.groupBy(F.col("day").cast("date").alias("day")).agg(
+        F.count("*").alias("files"), F.sum("length").cast("bigint").alias("byte_size")
     )
-    if drop:
-        drop_days(spark, table, days)
 
 
 def over_limit_days(spark: SparkSession, table: str, limit: int = DISK_GUARD_BYTES) -> DataFrame:
     """(day, byte_size) of the days whose files passed the limit."""
-    return partition_bytes(spark.table(table)).where(F.col("byte_size") > limit)
+    return partition_bytes(spark, table).where(F.col("byte_size") > limit)
 
 
 def compact_day(spark: SparkSession, table: str, day: str) -> None:
@@ -157,6 +187,7 @@ def compact_day(spark: SparkSession, table: str, day: str) -> None:
         .sortWithinPartitions(*SORT_COLUMNS)
     )
     columns = [c for c in LOG_COLUMNS if c != "day"] + PARTITION_COLUMNS
-    merged.select(*columns).write.insertInto(table, overwrite=True)
+    with dynamic_overwrite(spark):
+        merged.select(*columns).write.insertInto(table, overwrite=True)
     _drop(spark, table, stored)
     spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES IF EXISTS ('{key}')")

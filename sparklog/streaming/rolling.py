@@ -1,68 +1,53 @@
-"""Hourly counts and error rates over a stream, in event time."""
+"""Hourly counts and error rates over a stream, in event time.
+
+Every micro-batch writes its own counts, and readers add them up. There is no watermark on client
+time and no state, so a fast clock never makes later rows vanish, and late rows still count.
+"""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sparklog.functions.times import event_time
-from sparklog.schema import SEVERITY_FLOORS
-
-# The age limit of ingest: no accepted row is later than this.
-LATENESS = "24 hours"
+from sparklog.functions.times import floor_div
+from sparklog.schema import NS_PER_HOUR, NS_PER_SECOND, SEVERITY_FLOORS
 
 
-def _windowed(stream: DataFrame, width: str) -> DataFrame:
-    timed = stream.withColumn("event_ts", event_time(F.col("time_ns"))).withWatermark("event_ts", LATENESS)
-    return timed.withColumn("window", F.window("event_ts", width))
+def hourly_counts(logs: DataFrame) -> DataFrame:
+    """Counts per hour, service and severity."""
+    hour_ns = (floor_div(F.col("time_ns"), NS_PER_HOUR) * NS_PER_HOUR).alias("hour_ns")
+    return logs.groupBy(hour_ns, "service", "severity").agg(F.count("*").alias("count"))
 
 
-def hourly_rollup_stream(stream: DataFrame) -> DataFrame:
-    """Counts per hour, service and severity; use update mode to see open hours."""
-    counts = _windowed(stream, "1 hour").groupBy("window", "service", "severity").agg(F.count("*").alias("count"))
-    hour_ns = (F.unix_micros("window.start") * 1000).alias("hour_ns")
-    return counts.select(hour_ns, "service", "severity", "count")
+def error_counts(logs: DataFrame, window_seconds: int = 300) -> DataFrame:
+    """Records and ERROR rows of each service and window."""
+    width = window_seconds * NS_PER_SECOND
+    window_ns = (floor_div(F.col("time_ns"), width) * width).alias("window_ns")
+    errors = F.count_if(F.col("severity") >= SEVERITY_FLOORS["ERROR"]).alias("errors")
+    return logs.groupBy(window_ns, "service").agg(errors, F.count("*").alias("records"))
 
 
-def error_rate_stream(stream: DataFrame, window: str = "5 minutes", threshold: float = 0.1) -> DataFrame:
+def over_rate(counts: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Windows of a service whose share of ERROR rows reaches the threshold."""
-    rates = (
-        _windowed(stream, window)
-        .groupBy("window", "service")
-        .agg(
-            F.count_if(F.col("severity") >= SEVERITY_FLOORS["ERROR"]).alias("errors"),
-            F.count("*").alias("records"),
-        )
-    )
-    over = (F.col("errors") > 0) & (F.col("errors") >= F.col("records") * F.lit(threshold))
-    return rates.where(over).select(
-        (F.unix_micros("window.start") * 1000).alias("window_ns"), "service", "errors", "records"
-    )
-
+    return counts.where((F.col("errors") > 0) & (F.col("errors") >= F.col("records") * F.lit(threshold)))
 
-def write_latest(counts: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Write a running aggregation in update mode: each micro-batch adds the groups it changed.
 
-    A batch overwrites its own folder, so a replay changes nothing.
-    """
+def write_counts(
+    stream: DataFrame, count: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Write the counts of each micro-batch to a folder of its own, so that a replay changes nothing."""
 
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(os.path.join(path, f"update={batch_id}"))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        count(batch).write.mode("overwrite").parquet(os.path.join(path, f"update={batch_id}"))
 
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
-    return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
-
-
-def read_latest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
-    """The newest state of every group that ``write_latest`` wrote."""
-    newest = F.max_by(F.struct(*values), "update").alias("newest")
-    return spark.read.parquet(path).groupBy(*keys).agg(newest).select(*keys, "newest.*")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_counts(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
+    """The sums over all micro-batches that ``write_counts`` wrote."""
+    return spark.read.parquet(path).groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])

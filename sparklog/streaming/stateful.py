@@ -36,8 +36,9 @@ def throttle_stream(stream: DataFrame, key: str, gap_ns: int = THROTTLE_GAP_NS)
 def rate_limit_stream(stream: DataFrame, key: str, per_minute: int = RATE_LIMIT_PER_MINUTE) -> DataFrame:
     """At most ``per_minute`` rows per key and clock minute, counted across micro-batches.
 
-    The state holds the counts of a key's last 24 hours of minutes: what is older was refused
-    as too old at ingest. No watermark and no timeout, so one fast clock affects only its key.
+    The state holds the counts of the minutes from 24 hours before the newest ``ingest_ns`` on:
+    what is older was refused as too old at ingest. No watermark and no timeout, and a fast
+    client clock, which ingest time does not follow, forgets no minute.
     """
     minute_ns = 60 * NS_PER_SECOND
     kept_minutes = MAX_RECORD_AGE_NS // minute_ns
@@ -45,14 +46,15 @@ def rate_limit_stream(stream: DataFrame, key: str, per_minute: int = RATE_LIMIT_
     def keep_first(group, frames, state):
         rows = pd.concat(list(frames)).sort_values(["time_ns", "record_id"], kind="stable")
         used = {int(m): n for m, n in json.loads(state.get[0]).items()} if state.exists else {}
+        newest = max(int(rows["ingest_ns"].max()), state.get[1] if state.exists else 0)
         minute = rows["time_ns"] // minute_ns
         place = minute.map(used).fillna(0) + rows.groupby(minute).cumcount()
         for number, count in minute.value_counts().items():
             used[int(number)] = used.get(int(number), 0) + int(count)
-        oldest = max(used) - kept_minutes
-        state.update((json.dumps({m: n for m, n in used.items() if m >= oldest}),))
+        oldest = newest // minute_ns - kept_minutes
+        state.update((json.dumps({m: n for m, n in used.items() if m >= oldest}), newest))
         yield rows[place < per_minute]
 
     return stream.groupBy(key).applyInPandasWithState(
-        keep_first, stream.schema, "used string", "append", "NoTimeout"
+        keep_first, stream.schema, "used string, newest_ns long", "append", "NoTimeout"
     )

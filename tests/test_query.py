@@ -12,7 +12,7 @@ from sparklog.operators.correlate import correlate
 from sparklog.operators.safety import cap_record_size, disk_guard, pin_service, rate_limit
 from sparklog.operators.search import search_logs
 from sparklog.operators.summary import introspect, summary
-from sparklog.operators.throttle import throttle
+from sparklog.operators.throttle import _next_kept, throttle
 from sparklog.sources.driver_tables import logs_from_events
 
 MINUTE = 60 * SECOND
@@ -179,6 +179,22 @@ def test_throttle_keeps_rows_without_key(make_logs, fold_rows):
     assert throttle(logs, ["logger"], 2, fold_rows).count() == 4
 
 
+@pytest.mark.parametrize("fold_rows", [1, 100])
+def test_throttle_with_no_gap_keeps_all(make_logs, fold_rows):
+    assert throttle(make_logs([{}, {}, {"time_ns": NOW + 1}]), ["service"], 0, fold_rows).count() == 3
+
+
+def test_throttle_with_an_outlier_slices_by_rows(spark, make_logs):
+    """One row years ahead: what is kept is the same for every ``fold_rows``, and no slice holds most rows."""
+    logs = make_logs([{"time_ns": NOW + i * SECOND} for i in range(600)] + [{"time_ns": NOW + 10**17}])
+    kept = {n: sorted(r.record_id for r in throttle(logs, ["service"], 7 * SECOND, n).collect()) for n in (20, 100, 1000)}
+    assert kept[20] == kept[100] == kept[1000] and len(kept[20]) == 87
+    instants = logs.select("service", "time_ns", "record_id").withColumn("first_ns", F.lit(NOW))
+    seen = instants.select("service", F.col("time_ns").alias("at")).repartitionByRange(12, "service", "at")
+    assert seen.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+    assert _next_kept(instants, ["service"], 7 * SECOND, 6).count() == 600
+
+
 def test_throttle_with_one_slot(make_logs):
     logs = make_logs([{"time_ns": NOW + i * 30 * SECOND, "service": str(i)} for i in range(5)])
     assert throttle(logs).count() == 3

@@ -12,6 +12,7 @@ from sparklog.operators.throttle import throttle
 from sparklog.sources.log_table import read_logs
 from sparklog.sources.otlp_json import read_batches
 from sparklog.streaming.ingest import start_ingest
+from sparklog.streaming.rolling import hourly_counts, read_counts, write_counts
 from sparklog.streaming.stateful import rate_limit_stream, throttle_stream
 from sparklog.streaming.tail import stream_logs, tail_json, tail_logs
 
@@ -93,7 +94,7 @@ def test_stream_equals_batch_and_resumes(spark, log_table, scratch):
 
 def test_stateful_limits_span_micro_batches(spark, scratch, make_logs):
     rows = [{"time_ns": NOW + i * 7 * SECOND, "service": "ab"[i % 2]} for i in range(60)]
-    logs = make_logs(rows).select("service", "time_ns", "record_id").cache()
+    logs = make_logs(rows).select("service", "time_ns", "ingest_ns", "record_id").cache()
     source = scratch("source")
     for part in range(3):
         chunk = logs.where(F.floor((F.col("time_ns") - NOW) / (140 * SECOND)) == part)
@@ -109,3 +110,22 @@ def test_stateful_limits_span_micro_batches(spark, scratch, make_logs):
     drain(rate_limit_stream(stream(), "service", per_minute=3), limited)
     wanted = rate_limit(logs, "service", per_minute=3)
     assert sorted(spark.read.parquet(f"{limited}/rows").collect()) == sorted(wanted.collect())
+
+
+def test_future_stamps_hurt_no_other_row(spark, scratch, make_logs):
+    """One row ten years ahead, in the first micro-batch of three."""
+    ahead = {"time_ns": NOW + 3650 * 24 * HOUR, "ingest_ns": NOW, "service": "a"}
+    batches = [[ahead], [{"time_ns": NOW + i, "service": "a"} for i in range(3)], [{"time_ns": NOW + 9 + i, "service": "a"} for i in range(3)]]
+    source, counts, limited = scratch("source"), scratch("counts"), scratch("limited")
+    for rows in batches:
+        logs = make_logs(rows).select("service", "severity", "time_ns", "ingest_ns", "record_id")
+        logs.coalesce(1).write.mode("append").parquet(source)
+
+    def stream():
+        return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    write_counts(stream(), hourly_counts, f"{counts}/rows", f"{counts}/checkpoint").awaitTermination()
+    summed = read_counts(spark, f"{counts}/rows", ["hour_ns", "service", "severity"], ["count"])
+    assert sorted(r["count"] for r in summed.collect()) == [1, 6]
+    drain(rate_limit_stream(stream(), "service", per_minute=1), limited)
+    assert spark.read.parquet(f"{limited}/rows").count() == 2

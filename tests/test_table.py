@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparklog.operators.query import filter_logs
 from sparklog.operators.rollup import write_rollup
-from sparklog.operators.summary import partition_bytes, partition_info, summary
+from sparklog.operators.summary import partition_info, summary
 from sparklog.plans.rollup_routing import summary_from_rollup
 from sparklog.sources import log_table as store
 
@@ -87,6 +87,30 @@ def test_archive(spark, log_table, make_logs, scratch):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_late_rows_do_not_replace_an_archive(spark, log_table, make_logs, scratch):
+    path = scratch("archive")
+    store.write_batch(make_logs([{"record_id": str(i)} for i in range(5)]), log_table, "r", 0)
+    store.archive(spark, log_table, path, ["2026-04-13"], drop=False)
+    store.archive(spark, log_table, path, ["2026-04-13"])
+    assert spark.read.parquet(path).count() == 5 and spark.table(log_table).count() == 0
+    store.write_batch(make_logs([{"record_id": "late"}]), log_table, "r", 1)
+    store.archive(spark, log_table, path, ["2026-04-13"])
+    assert spark.read.parquet(path).count() == 6
+
+
+def test_batches_add_up_in_a_plain_session(spark, log_table, make_logs):
+    key = "spark.sql.sources.partitionOverwriteMode"
+    spark.conf.set(key, "static")
+    try:
+        store.write_batch(make_logs([{"record_id": str(i)} for i in range(3)]), log_table, "r", 0)
+        store.write_batch(make_logs([{"record_id": "3"}, {"record_id": "4"}]), log_table, "r", 1)
+        assert spark.table(log_table).count() == 5
+        store.compact_day(spark, log_table, "2026-04-13")
+        assert spark.table(log_table).count() == 5 and spark.conf.get(key) == "static"
+    finally:
+        spark.conf.set(key, "dynamic")
+
+
 def test_compaction(spark, log_table, make_logs):
     for batch in range(3):
         rows = [{"record_id": f"{batch}-{i}", "service": "ab"[i % 2]} for i in range(5)]
@@ -116,7 +140,7 @@ def test_compaction_that_died_is_finished(spark, log_table, make_logs, dropped):
 
 def test_stored_bytes(spark, log_table, make_logs):
     store.write_batch(make_logs([{}]), log_table, "r", 0)
-    size = partition_bytes(spark.table(log_table)).first()
+    size = store.partition_bytes(spark, log_table).first()
     assert (size.day, size.files) == (dt.date(2026, 4, 13), 1) and size.byte_size > 0
     assert store.over_limit_days(spark, log_table, size.byte_size).count() == 0
     assert store.over_limit_days(spark, log_table, size.byte_size - 1).count() == 1
