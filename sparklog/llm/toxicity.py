@@ -8,7 +8,7 @@ their raw score into a probability.
 
 An empty or null text has all features 0 and gets a score like any other. Rows are independent,
 so repeated rows and null ids keep one result each. Without labels of both kinds in the sample
-every score is the share of label 1, or 0 without any.
+every score is the share of label 1, or 0 without any, and below PASS: nothing is rejected unlearned.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Callable[..., DataFrame]:
     sizes = {(row["g"], row["label"]): row["count"] for row in sample.groupBy(part, "label").count().collect()}
     if any((g, label) not in sizes for g in (0, 1, 2) for label in (0, 1)):
         toxic, total = sum(v for (_, label), v in sizes.items() if label), sum(sizes.values())
-        share = toxic / total if total else 0.0
+        share = min(toxic / total if total else 0.0, 0.99 * PASS)
         return lambda rows, *keep: rows.select(*keep, F.lit(share).alias("score"))
     lexicon = lexicon_of(sample.where("part < 4"))
     rows = stored(featured(sample.where("part >= 4"), lexicon, "label", "part"), "features")
