@@ -66,12 +66,12 @@ class Vocabulary:
         key = F.shiftleft(left.cast("long"), 20).bitwiseOR(right.cast("long"))
         return F.coalesce(F.get(self.ranks, (key % BUCKETS_PRIME).cast("int"))[key], F.lit(NONE))
 
-    def whole(self) -> dict[str, list[int]]:
+    def whole(self) -> list[tuple[str, list[int]]]:
         """The tokens that are texts by themselves."""
-        found = {}
+        found = []
         for token, rank in self.tokens.items():
             try:
-                found[token.decode()] = [rank]
+                found.append((token.decode(), [rank]))
             except UnicodeDecodeError:
                 continue
         return found
@@ -121,41 +121,43 @@ def pieces(text: Column, vocabulary: Vocabulary) -> Column:
     return F.regexp_extract_all(text, F.lit(vocabulary.pattern), F.lit(0))
 
 
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, rows: int = DICTIONARY_ROWS) -> dict[str, list[int]]:
-    """The tokens of at most `rows` most frequent pieces of all documents."""
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, rows: int = DICTIONARY_ROWS) -> DataFrame:
+    """(piece, ids): the tokens of at most `rows` most frequent pieces of all documents."""
     each = docs.select(F.explode(pieces(F.col("text"), vocabulary)).alias("piece")).where(F.octet_length("piece") <= WORD_BYTES)
     level = F.floor(F.log2("n") * 8).cast("int")
     counted = stored(each.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("level", level), "pieces")
-    least, total = None, 0
+    least, total = 1 << 30, 0
     for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few hundred levels
         total += row["count"]
         if total > rows:
             break
         least = row["level"]
-    if least is None:
-        return {}
-    chosen = counted.where(F.col("level") >= least).select("piece", fold(F.col("piece"), vocabulary).alias("ids"))
-    return {row["piece"]: row["ids"] for row in chosen.toLocalIterator()}
+    return counted.where(F.col("level") >= least).select("piece", fold(F.col("piece"), vocabulary).alias("ids"))
 
 
 class Dictionary:
-    """A literal map from pieces to their tokens."""
+    """A literal map from pieces (piece, ids) to their tokens, in small maps by hash."""
 
-    def __init__(self, words: dict[str, list[int]], hashes: dict[str, int]):
-        buckets: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
-        for word, ids in words.items():
-            buckets[hashes[word] % BUCKETS][word] = ids
-        self.words = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,array<int>>>")
+    def __init__(self, words: DataFrame):
+        entries = F.to_json(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))))
+        parts = words.groupBy(self.bucket(F.col("piece")).alias("bucket")).agg(entries.alias("entries"))
+        buckets = ["{}"] * BUCKETS
+        for row in parts.toLocalIterator():  # at most DICTIONARY_ROWS words and the vocabulary
+            buckets[row["bucket"]] = row["entries"]
+        self.words = F.from_json(F.lit(f"[{','.join(buckets)}]"), "array<map<string,array<int>>>")
+
+    @staticmethod
+    def bucket(piece: Column) -> Column:
+        return F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")
 
     def get(self, piece: Column) -> Column:
-        return F.get(self.words, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int"))[piece]
+        return F.get(self.words, self.bucket(piece))[piece]
 
 
 def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> Dictionary:
-    words = {**frequent_words(docs, vocabulary), **vocabulary.whole()}
-    named = docs.sparkSession.createDataFrame([(word,) for word in words], "piece string")
-    hashes = {row["piece"]: row["h"] for row in named.select("piece", F.pmod(F.xxhash64("piece"), F.lit(BUCKETS)).alias("h")).collect()}
-    return Dictionary(words, hashes)
+    whole = docs.sparkSession.createDataFrame(vocabulary.whole(), "piece string, ids array<int>")
+    frequent = frequent_words(docs, vocabulary).join(whole.select("piece"), "piece", "left_anti")
+    return Dictionary(frequent.unionByName(whole))
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
