@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from sparklog.llm.common import stored, texts
 
-BUCKETS = 1 << 16
-BUCKETS_PRIME = 65_521  # the largest prime below BUCKETS
-DICTIONARY_ROWS = 1 << 17
+BUCKETS = 1 << 15
+BUCKETS_PRIME = 32_749  # the largest prime below BUCKETS
+DICTIONARY_ROWS = 1 << 16
 WORD_BYTES = 64
 #: Stands for the rank of a pair that is not merged.
 NONE = 1 << 30
@@ -88,31 +88,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold(piece: Column, vocabulary: Vocabulary) -> Column:
-    """The tokens of one piece, by merging pairs of lowest rank until none is left."""
+    """The tokens of one piece, by merging pairs of lowest rank until none is left.
+
+    The state holds the tokens, the ranks of their pairs before and after a gap, and the few tokens
+    `low`, `low + 1`, ... of the gap whose pairs are still to be ranked: all at first, later those
+    around the last merge. The rank map stands in the expression once.
+    """
     letters = F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), "")
     start = F.transform(letters, lambda c: F.get(vocabulary.bytes, F.ascii(c)))
+    none = F.array().cast("array<int>")
 
-    def state(ids: Column, next_: Column) -> Column:
-        return F.struct(ids.alias("ids"), next_.alias("next"))
+    def state(ids: Column, left: Column, right: Column, low: Column, count: Column) -> Column:
+        return F.struct(ids.alias("ids"), left.alias("left"), right.alias("right"), low.alias("low"), count.alias("count"))
 
-    def merged(s: Column, rank: Column, at: Column) -> Column:
-        ids, next_ = s["ids"], s["next"]
-        before, after = F.slice(ids, F.lit(1), at - 1), F.slice(ids, at + 2, F.size(ids))
-        none = F.array().cast("array<int>")
-        left = F.when(at > 1, F.array(vocabulary.rank(F.get(ids, at - 2), rank))).otherwise(none)
-        right = F.when(F.size(ids) > at + 1, F.array(vocabulary.rank(rank, F.get(ids, at + 1)))).otherwise(none)
-        ranks = F.concat(F.slice(next_, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(next_, at + 2, F.size(next_)))
-        return state(F.concat(before, F.array(rank), after), ranks)
+    def merged(ids: Column, ranks: Column, rank: Column, at: Column) -> Column:
+        joined = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(rank), F.slice(ids, at + 2, F.size(ids)))
+        low = F.greatest(at - 1, F.lit(1))
+        count = F.least(at + 1, F.size(ids) - 1) - low + 1
+        return state(joined, F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), F.slice(ranks, at + 2, F.size(ids)), low, count)
 
     def step(s: Column, _: Column) -> Column:
-        return let(
-            F.array_min(s["next"]),
-            lambda rank: F.when(rank >= NONE, s).otherwise(let(F.array_position(s["next"], rank).cast("int"), lambda at: merged(s, rank, at))),
-        )
+        gap = F.slice(s["ids"], s["low"], s["count"])
+        fresh = F.zip_with(F.slice(gap, F.lit(1), s["count"] - 1), F.slice(gap, F.lit(2), s["count"] - 1), vocabulary.rank)
+
+        def lowest(ranks: Column) -> Column:
+            done = state(s["ids"], ranks, none, F.lit(1), F.lit(1))
+            return let(
+                F.array_min(ranks),
+                lambda rank: F.when(rank >= NONE, done).otherwise(let(F.array_position(ranks, rank).cast("int"), lambda at: merged(s["ids"], ranks, rank, at))),
+            )
+
+        return let(F.concat(s["left"], fresh, s["right"]), lowest)
 
     def folded(ids: Column) -> Column:
-        begin = state(ids, F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), vocabulary.rank))
-        return F.aggregate(F.slice(ids, 2, F.size(ids)), begin, step, lambda s: s["ids"])
+        return F.aggregate(F.slice(ids, 2, F.size(ids)), state(ids, none, none, F.lit(1), F.size(ids)), step, lambda s: s["ids"])
 
     return let(start, lambda ids: F.when(F.size(ids) > 1, folded(ids)).otherwise(ids))
 
