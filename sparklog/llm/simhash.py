@@ -96,25 +96,28 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     The last floor(n / 3) characters give way to as many, or all, first ones of the document
     with the next smaller id (the smallest id is followed by the largest). Of several rows with
-    one id the smallest text is the one that is taken from. A null id has no next document, and
-    its edited text ends where the last third began.
+    one id the smallest text is the one that is taken from. Ids must not be null.
     """
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
+    ids = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
     chain = stored(successors(ids), "next")
     takers = chain.select(F.col("doc_id").alias("_taker"), F.col("next_id").alias("_giver"), F.floor(F.col("n_chars") / 3).cast("int").alias("_take"))
+    # both joins read the texts dealt out by doc_id, which Spark shuffles once
     given = (
         docs.join(takers, docs["doc_id"] == takers["_giver"])
         .select("_taker", "_giver", F.expr("substring(text, 1, _take)").alias("_given"))
         .groupBy("_taker", "_giver")
         .agg(F.min("_given").alias("_given"))
     )
-    cut = F.floor(F.length("text") / 3).cast("int")
-    kept = F.substring(F.col("text"), F.lit(1), F.length("text") - cut)
     return docs.join(given, docs["doc_id"] == given["_taker"], "left").select(
-        "doc_id", "text", F.col("_giver").alias("next_id"), F.concat(kept, F.substring(F.coalesce("_given", F.lit("")), F.lit(1), cut)).alias("edited")
+        "doc_id", "text", F.col("_giver").alias("next_id"), edited(F.coalesce("_given", F.lit(""))).alias("edited")
     )
 
 
+def edited(given: Column) -> Column:
+    cut = F.floor(F.length("text") / 3).cast("int")
+    return F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(given, F.lit(1), cut))
+
+
 def block_masks(blocks: int, radius: int) -> list[int]:
     """Masks of `blocks - radius` of `blocks` equal blocks of bits, every choice of them.
 
@@ -151,19 +154,20 @@ def edited_likeness(docs: DataFrame, radius: int = 3, every: int = 100) -> DataF
 
     One row for each distinct (doc_id, text). n_within is, for ids divisible by `every`, the
     number of documents within `radius` bits, itself included; null for other ids. A null text
-    is empty; a null id has no next document, and its near_next is null.
+    is empty. A null id has no next document: its edited text ends where the last third began, and
+    its near_next is null.
     """
-    paired = with_next(texts(docs)).select(
-        "doc_id",
-        "next_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        F.xxhash64("text").alias("_text"),
-        "text",
-        "edited",
-    )
+    rows = texts(docs)
     keys = ["doc_id", "next_id", "n_chars", "edited_sha256", "_text"]
-    prints = stored(fingerprints(paired, keys, F.col("text"), F.col("edited")), "prints")
+
+    def printed(paired: DataFrame) -> DataFrame:
+        length, digest = F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256")
+        keyed = paired.select("doc_id", "next_id", length, digest, F.xxhash64("text").alias("_text"), "text", "edited")
+        return fingerprints(keyed, keys, F.col("text"), F.col("edited"))
+
+    alone = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), edited(F.lit("")).alias("edited"))
+    # stored apart: under a union Spark would not see that both text exchanges are the same
+    prints = stored(printed(with_next(rows.where("doc_id IS NOT NULL"))), "prints").union(stored(printed(alone), "prints"))
     nexts = prints.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_next")).agg(F.min("fingerprint").alias("_next_print"))
     asked = prints.where(F.col("doc_id") % every == 0)
     sizes = prints.groupBy(F.col("fingerprint").alias("_other")).agg(F.count(F.lit(1)).alias("_copies"))
