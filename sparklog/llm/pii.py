@@ -2,14 +2,18 @@
 
 Base: email addresses, IP addresses, card and phone numbers, by pattern and check. They are the
 protected entities. The corpus then tells which other terms give an entity away. A term (a word
-`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased) co-occurs with an entity in a document if it
-stands within NEAR words of it there. With N documents and document counts f,
+`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased, outside all entities) co-occurs with an entity if
+both stand in a document, however far apart. Beside the entity itself its group (an email's domain,
+the first parts of an IP, card or phone number) and its kind are keys, so an entity that stands in
+one text only is judged by what discloses its group or kind. With N documents and document counts f,
 
-    IC(e) = log2(N / f(e))        PMI(e; t) = log2(N f(e, t) / (f(e) f(t)))
+    IC(k) = log2(N / f(k))        PMI(k; t) = log2(N f(k, t) / (f(k) f(t)))
 
-and PMI / IC is the share of the entity's information that the term discloses. From REMOVE on a
-term near that entity is removed, from GENERALISE on it is replaced by its class; both only if
-at least SUPPORT different texts show the pair, as a single text says nothing about chance.
+and PMI / IC is the share of the key's information that the term discloses. From REMOVE on every
+place of the term in the key's documents is removed, from GENERALISE on replaced by the class of its
+form: number, code, name or word. A pair counts only if chance explains it badly: Chernoff's bound for
+that many different texts with both has to fall below CHANCE over all pairs tested. A key of one text meets
+each word of it, whatever the word, and is not tested itself.
 
 All counts are over all documents. The f(t) of candidate terms are counted in a second pass,
 behind a bitmap of fixed size; what passes it by chance is dropped by a join.
@@ -20,6 +24,7 @@ one output row, and each counts as a document.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,8 +37,8 @@ from sparklog.llm.common import stored, texts
 from sparklog.llm.words import NOT_WORDS, Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 8
-SUPPORT = 2
+#: Probability that chance alone makes any pair of the whole corpus pass.
+CHANCE = 0.05
 GENERALISE, REMOVE = 0.6, 0.9
 #: Bits of the candidate terms' bitmap, which is sent to all tasks.
 BITMAP = 1 << 20
@@ -82,50 +87,52 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _surroundings(text: str, found: list[tuple[str, int, int]]) -> list[dict]:
-    """The terms within NEAR words of each entity, outside all entities."""
+def keys(kind: str, value: str) -> tuple[str, str, str]:
+    """The keys of an entity: itself, its group and its kind."""
+    value = value.lower()
+    digits = "".join(_DIGIT.findall(value))
+    group = {"email": value.rpartition("@")[2], "ip": value.rpartition(".")[0], "card": digits[:6], "phone": digits[:4]}[kind]
+    return f"{kind}:{value}", f"{kind} group:{group}", kind
+
+
+def _terms(text: str, found: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of all words of the text outside its entities."""
     data = np.frombuffer(text.encode(), np.uint8)
     words = Words(data, np.array([0, len(data)]), NOT_WORDS)
     point = np.cumsum((data & 0xC0) != 0x80) - 1  # the code point that each byte belongs to
     start, end = point[words.start], point[words.end - 1] + 1
     inside = np.zeros(len(start), np.bool_)
-    ranges = []
     for _, a, b in found:
-        low, high = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b, "left"))
-        inside[low:high] = True
-        ranges.append((low, high))
-    near = []
-    for (kind, a, b), (low, high) in zip(found, ranges, strict=True):
-        entity = f"{kind}:{text[a:b].lower()}"
-        for w in [*range(max(low - NEAR, 0), low), *range(high, min(high + NEAR, len(start)))]:
-            if not inside[w]:
-                near.append({"entity": entity, "term": int(words.hash[w].view(np.int64)), "start": int(start[w]), "end": int(end[w])})
-    return near
+        inside[int(np.searchsorted(end, a, "right")) : int(np.searchsorted(start, b, "left"))] = True
+    return words.hash[~inside].view(np.int64), start[~inside].astype(np.int32), end[~inside].astype(np.int32)
 
 
 BASE_SCHEMA = (
-    "doc_id long, text_key binary, kinds array<string>, starts array<int>, ends array<int>, entities array<string>, "
-    "near array<struct<entity:string,term:bigint,start:int,end:int>>"
+    "doc_id long, text_key binary, kinds array<string>, starts array<int>, ends array<int>, keys array<string>, "
+    "words array<struct<term:bigint,start:int,end:int>>"
 )
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Per document its entities and their surroundings; text_key tells different texts apart."""
-    near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    """Per document its entities, their keys and its other words; text_key tells different texts apart."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, near, named = [], [], []
+            found, words, named = [], [], []
             for value in batch.column(1):
                 text = value.as_py()
                 own = entities(text)
                 found.append(own)
-                near.append(_surroundings(text, own) if own else [])
-                named.append(sorted({f"{kind}:{text[a:b].lower()}" for kind, a, b in own}))
+                words.append(_terms(text, own) if own else none)
+                named.append(sorted({key for kind, a, b in own for key in keys(kind, text[a:b])}))
             columns = [pa.array([[e[k] for e in own] for own in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            offsets = np.cumsum([0, *[len(w[0]) for w in words]]).astype(np.int32)
+            flat = [np.concatenate([w[k] for w in words] or [none[k]]) for k in range(3)]
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(f) for f in flat], ["term", "start", "end"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *columns, pa.array(named, pa.list_(pa.string())), pa.array(near, near_type)],
-                ["doc_id", "text_key", "kinds", "starts", "ends", "entities", "near"],
+                [batch.column(0), batch.column(2), *columns, pa.array(named, pa.list_(pa.string())), listed],
+                ["doc_id", "text_key", "kinds", "starts", "ends", "keys", "words"],
             )
 
     return docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, BASE_SCHEMA)
@@ -161,21 +168,37 @@ def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return counted.join(candidates.select("term").distinct(), "term")
 
 
+def _unlikely(shared: Column, draws: Column, rate: Column) -> Column:
+    """-ln of Chernoff's bound for at least `shared` hits in so many draws at the rate; 0 if no more than expected."""
+    share = shared / draws
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    return F.when((share > rate) & (rate < 1), draws * (share * F.log(share / rate) + rest)).otherwise(0.0)
+
+
 def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(entity, term, share): the pairs whose term discloses at least GENERALISE of the entity."""
-    total = base.count()
-    alone = base.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("fe"))
-    met = base.select("doc_id", "text_key", "entities", F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"], n["term"])))).alias("p"))
-    pairs = met.groupBy(F.col("p.entity").alias("entity"), F.col("p.term").alias("term")).agg(
-        F.count(F.lit(1)).alias("fet"), F.min("text_key").alias("low"), F.max("text_key").alias("high")
-    )
-    # SUPPORT is 2: the smallest and the largest text differ
-    supported = stored(pairs.where("low <> high").select("entity", "term", "fet"), "pairs")
-    counts = term_counts(docs, supported)
-    joined = supported.join(counts, "term").join(alone, "entity")
-    bits = F.log2(F.lit(float(max(total, 1))) * F.col("fet") / (F.col("fe") * F.col("f")))
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("fe"))
-    return joined.select("entity", "term", F.when(content > 0, bits / content).alias("share")).where(F.col("share") >= GENERALISE)
+    """(key, term, share): the pairs whose term discloses at least GENERALISE of the key, beyond chance."""
+    total = float(max(base.count(), 1))
+    held = base.where(F.size("keys") > 0)
+    terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
+    # copies of a text are one observation
+    once = stored(held.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first(terms).alias("terms")), "entity-texts")
+    tested = once.agg(F.coalesce(F.sum(F.size("keys").cast("double") * F.size("terms")), F.lit(0.0))).first()[0]
+    least = math.log(max(tested, 1.0) / CHANCE)
+    # x texts with a key and a term bound the exponent by this, which grows up to total / e
+    most = F.col("texts") * F.log(total / F.col("texts"))
+    alone = once.select("copies", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("copies").alias("fk"), F.count(F.lit(1)).alias("texts"))
+    alone = stored(alone.where((F.col("texts") > 1) & ((most >= least) | (F.col("texts") > total / math.e))).select("key", "fk"), "keys")
+    # keys that no term can pass with are left out before their texts' words are listed
+    few = once.select("text_key", F.explode("keys").alias("key")).join(alone.select("key"), "key").groupBy(F.col("text_key").alias("_key")).agg(F.collect_list("key").alias("own"))
+    tried = once.join(few, F.col("text_key") == F.col("_key")).select("copies", "terms", F.explode("own").alias("key"))
+    pairs = tried.select("copies", "key", F.explode("terms").alias("term"))
+    met = pairs.groupBy("key", "term").agg(F.sum("copies").alias("fkt"), F.count(F.lit(1)).alias("texts"))
+    possible = stored(met.where((F.col("texts") > 1) & (most >= least)), "pairs")
+    joined = possible.join(term_counts(docs, possible), "term").join(alone, "key")
+    bits = F.log2(total * F.col("fkt") / (F.col("fk") * F.col("f")))
+    content = F.log2(total / F.col("fk"))
+    unlikely = F.greatest(_unlikely(F.col("texts"), F.col("f"), F.col("fk") / total), _unlikely(F.col("texts"), F.col("fk"), F.col("f") / total))
+    return joined.where(unlikely >= least).select("key", "term", F.when(content > 0, bits / content).alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -185,17 +208,20 @@ def find(docs: DataFrame) -> DataFrame:
     """
     rows = texts(docs)
     base = stored(base_spans(rows), "entities")
-    shares = disclosing(rows, base)
-    near = base.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.*")
-    strongest = near.join(shares, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("share").alias("share"))
+    shares = stored(disclosing(rows, base), "shares")
+    held = base.where(F.size("keys") > 0).select("doc_id", "text_key", "keys", F.array_distinct(F.transform("words", lambda w: w["term"])).alias("terms"))
+    # the terms that disclose anything first, so that few of a text's words are met with its keys
+    listed = held.select("doc_id", "text_key", "keys", F.explode("terms").alias("term")).join(shares.select("term").distinct(), "term", "left_semi")
+    paired = listed.select("doc_id", "text_key", "term", F.explode("keys").alias("key")).join(shares, ["key", "term"])
+    strongest = paired.groupBy("doc_id", "text_key", "term").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")
-    added = strongest.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.array_sort(F.collect_set(F.struct(kind.alias("kind"), "start", "end"))).alias("added")
-    )
-    joined = base.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    marks = strongest.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", kind))).alias("marks"))
+    joined = base.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    placed = F.transform("words", lambda w: F.struct(F.try_element_at("marks", w["term"]).alias("kind"), w["start"].alias("start"), w["end"].alias("end")))
+    added = F.when(F.col("marks").isNotNull(), F.array_sort(F.filter(placed, lambda w: w["kind"].isNotNull()))).alias("added")
     spans = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.struct(s["kinds"].alias("kind"), s["starts"].alias("start"), s["ends"].alias("end")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return joined.select("doc_id", "text_key", spans.alias("base"), F.coalesce("added", none).alias("added"))
+    return joined.select("doc_id", "text_key", spans.alias("base"), F.coalesce(added, none).alias("added"))
 
 
 def listing(docs: DataFrame) -> DataFrame:
@@ -214,7 +240,7 @@ def listing(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): entities and generalised terms replaced by their class, removed terms cut out."""
+    """(doc_id, text): entities replaced by their kind, generalised terms by the class of their form, removed terms cut out."""
     found = find(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat("base", "added").alias("spans")).where(F.size("spans") > 0)
     once = found.groupBy("_id", "_key").agg(F.first("spans").alias("spans"))
     rows = texts(docs)
@@ -228,13 +254,21 @@ def sanitise(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
 
 
+def form(word: str) -> str:
+    """The class that a generalised term is replaced by."""
+    if any("0" <= c <= "9" for c in word):
+        return "NUMBER" if word.isdigit() else "CODE"
+    return "NAME" if word[:1].isupper() else "WORD"
+
+
 def replaced(text: str, spans: list[dict]) -> str:
     """The text with its spans replaced; of overlapping ones the first, then the longest, holds."""
     out, at = [], 0
     for span in sorted(spans, key=lambda s: (s["start"], -s["end"])):
         if span["start"] < at:
             continue
-        mark = {"remove": "", "generalise": "[TERM]"}.get(span["kind"], f"[{span['kind'].upper()}]")
+        word = text[span["start"] : span["end"]]
+        mark = {"remove": "", "generalise": f"[{form(word)}]"}.get(span["kind"], f"[{span['kind'].upper()}]")
         out += [text[at : span["start"]], mark]
         at = span["end"]
     return "".join([*out, text[at:]])

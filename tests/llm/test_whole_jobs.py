@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from sparklog.llm import jaccard_join
+from sparklog.llm import jaccard_join, pii
 from tests.llm.test_methods import groups, shingles
 
 
@@ -22,3 +22,18 @@ def test_jaccard_join_of_copies_with_a_shared_passage(spark, monkeypatch):
     expected = groups({i: shingles(t) for i, t in docs.items()})
     assert len(set(expected.values())) == 40
     assert {r.doc_id: r.component_id for r in rows} == expected
+
+
+def test_terms_of_unique_entities_and_far_words(spark):
+    """Every address is unique; its domain's employer stands far off, and twice; copies of one text prove nothing."""
+    filler = "the and of here is a plain text with common words that say nothing at all"
+    rows = [(i, f"Acmeworks {filler} user{i}@acme.example.com {filler} again Acmeworks own{i}") for i in range(12)]
+    rows += [(i, f"{filler} again number{i} plain") for i in range(20, 320)]
+    rows += [(i, f"{filler} again copied lonely@else.example.org") for i in range(400, 405)]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        marked = [text[s.start : s.end] for s in found[i].added]
+        assert marked == (["Acmeworks"] * 2 if i < 12 else []), (i, marked)
+    text = rows[0][1]
+    generalised = pii.replaced(text, [{"kind": "generalise", "start": 0, "end": 9}])
+    assert generalised.startswith("[NAME] the and")
