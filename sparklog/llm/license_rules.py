@@ -2,7 +2,7 @@
 
 A rule is matched against the words of a text, lower-cased and joined by single spaces, so
 punctuation and line ends do not matter: "CC BY-NC 4.0" reads "cc by nc 4 0". Each rule names
-the keyword without which it cannot match. Rank 3 is a full statement, an address or an
+the keyword without which it cannot match; its first word has to be a whole word of every match. Rank 3 is a full statement, an address or an
 identifier with its version; 2 a name with its version; 1 a bare name or a hint.
 """
 
@@ -39,11 +39,13 @@ FAMILIES = [
     ("ofl", "open font", r"(?:sil )?open font", "ofl", "1.0 1.1"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation", "gfdl", "1.1 1.2 1.3"),
     ("psf", "python software", r"python software foundation", "psf", "2.0"),
-    ("php", "php license", r"php", "php", "3.0 3.01"),
+    ("php", "php", r"php", "php", "3.0 3.01"),
     ("zpl", "zope public", r"zope public", "zpl", "1.1 2.0 2.1"),
     ("ms-pl", "microsoft public", r"microsoft public", "ms pl", "1.0"),
     ("odbl", "open database", r"(?:odc )?open database", "odbl", "1.0"),
 ]
+# Short identifiers that name a license without a version or the word license beside them.
+ACRONYMS = ("gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "gfdl", "odbl")
 # Names and short forms of the Creative Commons licenses, and their versions.
 COMMONS = [
     ("cc-by", "attribution", "by"),
@@ -64,12 +66,13 @@ SINGLE = [
     Rule("isc", "isc license", r"isc license", 2),
     Rule("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 3),
     Rule("bsd", "bsd license", r"(?:under (?:the )?)?bsd license", 2),
-    Rule("bsd-2-clause", "bsd", r"bsd 2 clause(?: license)?|simplified bsd(?: license)?|freebsd license", 3),
+    Rule("bsd-2-clause", "bsd", r"bsd 2 clause(?: license)?|simplified bsd(?: license)?", 3),
+    Rule("bsd-2-clause", "freebsd license", r"freebsd license", 3),
     Rule("bsd-3-clause", "bsd", r"bsd 3 clause(?: license)?|(?:new|modified|revised) bsd(?: license)?", 3),
     Rule("bsd-4-clause", "bsd", r"bsd 4 clause(?: license)?|original bsd(?: license)?", 3),
     Rule("0bsd", "0bsd", r"0bsd", 2),
     Rule("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 3),
-    Rule("zlib", "zlib license", r"zlib(?: libpng)? license", 2),
+    Rule("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", 2),
     Rule("zlib", "as is", r"this software is provided as is without any express or implied warranty", 2),
     Rule("unlicense", "unlicense", r"(?:the )?unlicense", 2),
     Rule("unlicense", "public domain", r"free and unencumbered software released into the public domain", 3),
@@ -106,6 +109,11 @@ def _family(label: str, keyword: str, name: str, short: str, versions: str) -> l
             Rule(own, keyword, rf"{name}(?: licen[cs]e)? (?:version |v ?)?{words}", 2),
             Rule(own, "spdx", rf"spdx license identifier {short} {version.replace('.', ' ')}(?: only| or later)?", 3),
         ]
+        # names of programs, as in apache2 and php3, are no license without the v
+        for glued in (f"{short}v{words}", f"{short}{words}") if short in ACRONYMS else (f"{short}v{words}",):
+            rules.append(Rule(own, glued.split("(")[0], glued, 2))
+        rules.append(Rule(own, short, rf"{short}(?: licen[cs]e)? (?:version |v ?)?{words}", 2))
+    rules.append(Rule(label, short, rf"{short}(?: licen[cs]e)?" if short in ACRONYMS else rf"{short} licen[cs]e", 1))
     return rules
 
 
