@@ -7,13 +7,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from log_fixtures import NOW  # noqa: E402
 from sparklog.session import build_session, scratch_path  # noqa: E402
 from sparklog.sources.log_table import create_log_table  # noqa: E402
 
-NOW = 1_776_081_600_000_000_000  # 2026-04-13T12:00:00Z
-SECOND = 1_000_000_000
-HOUR = 3600 * SECOND
-
 
 @pytest.fixture(scope="session")
 def spark():

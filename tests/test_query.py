@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import HOUR, NOW, SECOND
+from log_fixtures import HOUR, NOW, SECOND
 from pyspark.sql import functions as F
 
 from sparklog.functions.tokens import term

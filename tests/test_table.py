@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import HOUR, NOW
+from log_fixtures import HOUR, NOW
 from pyspark.sql import functions as F
 
 from sparklog.operators.query import filter_logs
