@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality, secrets, simhash, toxicity
+from sparklog.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality, secrets, simhash, token_counts, toxicity
 from sparklog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,5 +74,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@registered
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return token_counts.token_counts(table(spark, sf_dir, "documents"), file.read())
+
+
 ORACLES["op4_decontamination"] = decontaminate.ORACLE
 ORACLES["op7_line_dedup"] = line_dedup.ORACLE
