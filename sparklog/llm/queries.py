@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality, secrets, simhash, token_counts, toxicity
+from sparklog.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, periodic_runs, pii, quality, secrets, simhash, token_counts, toxicity
 from sparklog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,5 +82,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_counts.token_counts(table(spark, sf_dir, "documents"), file.read())
 
 
+@registered
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(changed))
+
+
 ORACLES["op4_decontamination"] = decontaminate.ORACLE
 ORACLES["op7_line_dedup"] = line_dedup.ORACLE
