@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklog.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, periodic_runs, pii, quality, secrets, simhash, token_counts, toxicity
+from sparklog.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, periodic_runs, pii, quality, secrets, simhash, token_alignment, token_counts, toxicity
 from sparklog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,14 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_counts.token_counts(table(spark, sf_dir, "documents"), file.read())
 
 
+@registered
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return token_alignment.alignment(table(spark, sf_dir, "documents"), a.read(), b.read())
+
+
 @registered
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = periodic_runs.planted(table(spark, sf_dir, "documents"))
