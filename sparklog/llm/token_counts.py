@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklog.llm.byte_level import CHARACTER_OF_BYTE
 from sparklog.llm.common import stored, texts
 
 #: Pre-tokens in the broadcast table, and counters of each summary.
@@ -70,6 +71,7 @@ class PieceCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         added = [t["content"] for t in json.loads(spec)["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
@@ -108,8 +110,9 @@ class PieceCounter:
             yield some
 
     def lengths(self, pieces: list[str]) -> list[int]:
-        """Tokens of each pre-token, by the library."""
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Tokens of each pre-token, by the library's merges; its splitting of texts has been done."""
+        merge = self.model.tokenize
+        return [len(merge(p.encode().decode("latin-1").translate(CHARACTER_OF_BYTE))) for p in pieces]
 
     def missed(self, pieces: list[str]) -> int:
         """Tokens of pre-tokens that the table does not hold."""
