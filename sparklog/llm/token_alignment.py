@@ -4,7 +4,7 @@ Each text is encoded by a byte-level tokenizer (A, with a space before the text)
 model (B, which adds that space). Byte offsets at which tokens of both end cut the tokens into groups; all
 pairs of an A and a B token of a group are links.
 
-Long texts are dealt into lanes at single spaces between ASCII letters, where tokens of both
+Long texts are dealt into lanes at single spaces between visible Latin characters, where tokens of both
 tokenizers end; each lane is encoded by itself. A state vector holds, for every lane of a slice of
 documents, the A and the B token it is at and where its group began. One step moves all lanes:
 the token that ends first is passed, and where both end at one offset the group is closed, its cut and
@@ -28,6 +28,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklog.llm.byte_level import byte_of_character
 from sparklog.llm.common import stored, texts
 
 #: Characters after which a text may go on in another lane.
-LANE_CHARS = 2048
+LANE_CHARS = 1024
 #: Characters of the documents that are encoded and merged at once; a longer text is worked on alone.
 SLICE_CHARS = 1 << 20
 #: Links of a group beyond which only its distinct ids are multiplied out.
@@ -48,18 +50,11 @@ FREQUENT = 1 << 20
 #: Distinct pairs that a task holds before it hands their counts on.
 HELD = 1 << 21
 
-LANE_END = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+LANE_END = re.compile(r"(?<=[!-~\u00A1-\u024F]) (?=[!-~\u00A1-\u024F])")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE_MARK = "▁"
 
 
-def _byte_of_character() -> dict[str, int]:
-    """How byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on in order."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
-    found = {chr(b): b for b in shown}
-    return found | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-
-
 class Tokenizers:
     """Both tokenizers in one Python worker, and the bytes of their tokens."""
 
@@ -71,7 +66,7 @@ class Tokenizers:
         self.a = Tokenizer.from_str(json_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
-        byte_of = _byte_of_character()
+        byte_of = byte_of_character()
         added = {t["id"]: t["content"].encode() for t in json.loads(json_a)["added_tokens"]}
         entries = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(entries.values()) + 1)
@@ -82,6 +77,7 @@ class Tokenizers:
         # a lane may end before a space only if no piece goes on over it
         self.lanes = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
         self.sizes_a, self.sizes_b = (np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.joined_a, self.joined_b = (np.frombuffer(b"".join(table), np.uint8) for table in (self.bytes_a, self.bytes_b))
         # decimal ids with the sign that follows them: within a group, and at the end of its part
         self.shown_a = np.array([f"{k}{sign}" for sign in ",|" for k in range(len(self.bytes_a))], object)
         self.shown_b = np.array([f"{k}{sign}" for sign in ",;" for k in range(len(self.bytes_b))], object)
@@ -104,10 +100,20 @@ class Tokenizers:
         ids_a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False)]
         return ids_a, self.b.encode(parts, num_threads=1)
 
-    def restores(self, text: str, ids_a: list[list[int]], ids_b: list[list[int]]) -> bool:
-        """Whether the bytes of either tokenizer's tokens are a space and the text."""
-        wanted = b" " + text.encode()
-        return all(b"".join(table[k] for ids in lanes for k in ids) == wanted for table, lanes in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+
+def _differing(lanes: np.ndarray, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, joined: np.ndarray, wanted: list[bytes]) -> set[int]:
+    """Those of the `lanes` whose tokens' bytes are not the wanted ones."""
+    after = np.concatenate([[0], np.cumsum(sizes[ids])])
+    last = np.cumsum(counts)
+    lengths = after[last] - after[last - counts]
+    same = lengths == np.array([len(w) for w in wanted], np.int64)
+    kept = np.repeat(same, counts)
+    size = sizes[ids[kept]]
+    begins = np.cumsum(sizes) - sizes
+    place = np.repeat(begins[ids[kept]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    text = np.frombuffer(b"".join(w for w, s in zip(wanted, same, strict=True) if s), np.uint8)
+    owner = np.repeat(lanes[same], lengths[same])
+    return {*lanes[~same].tolist(), *np.unique(owner[joined[place] != text]).tolist()}
 
 
 _LOADED: dict[int, Tokenizers] = {}
@@ -122,14 +128,14 @@ def _tokenizers(spec: tuple[str, bytes]) -> Tokenizers:
     return _LOADED[key]
 
 
-def merged(ends_a: np.ndarray, ends_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, to_a: np.ndarray) -> np.ndarray:
+def merged(ends_a: np.ndarray, ends_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The groups of all lanes, as rows (first A token, after it, first B token, after it), in order of tokens.
 
     `ends_*` are the byte ends of all tokens of all lanes on end, `from_*` the first token of each lane and
-    `to_a` the one after its last. Both tokenizers of a lane end at one offset.
+    `last` the A token after its last. Both tokenizers of a lane end at one offset.
     """
     at_a, at_b = from_a.copy(), from_b.copy()
-    group_a, group_b, last = from_a.copy(), from_b.copy(), to_a
+    group_a, group_b = from_a.copy(), from_b.copy()
     found = []
     while len(at_a):
         end_a, end_b = ends_a[at_a], ends_b[at_b]
@@ -137,12 +143,13 @@ def merged(ends_a: np.ndarray, ends_b: np.ndarray, from_a: np.ndarray, from_b: n
         at_b = at_b + (end_b <= end_a)
         cut = np.flatnonzero(end_a == end_b)
         if len(cut):
-            found.append(np.stack([group_a[cut], at_a[cut], group_b[cut], at_b[cut]], axis=1))
-            group_a[cut], group_b[cut] = at_a[cut], at_b[cut]
-            if (at_a[cut] == last[cut]).any():
+            to_a, to_b = at_a[cut], at_b[cut]
+            found.append((group_a[cut], to_a, group_b[cut], to_b))
+            group_a[cut], group_b[cut] = to_a, to_b
+            if (to_a == last[cut]).any():
                 going = at_a < last
                 at_a, at_b, group_a, group_b, last = (v[going] for v in (at_a, at_b, group_a, group_b, last))
-    groups = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    groups = np.stack([np.concatenate(part) for part in zip(*found, strict=True)], axis=1) if found else np.zeros((0, 4), np.int64)
     return groups[np.argsort(groups[:, 0], kind="stable")]
 
 
@@ -178,18 +185,19 @@ class _Slice:
     """Some documents, encoded and merged."""
 
     def __init__(self, tokenizers: Tokenizers, values: list[str]):
-        lanes = [tokenizers.parts(text) if text else [] for text in values]
-        ids_a, ids_b = tokenizers.encoded([part for parts in lanes for part in parts])
-        kept: list[tuple[int, list[int], list[int]]] = []
-        at = 0
-        for number, (text, parts) in enumerate(zip(values, lanes, strict=True)):
-            own = slice(at, at + len(parts))
-            at += len(parts)
-            if parts and tokenizers.restores(text, ids_a[own], ids_b[own]):
-                kept += [(number, a, b) for a, b in zip(ids_a[own], ids_b[own], strict=True)]
-        count_a, count_b = (np.array([len(lane[k]) for lane in kept], np.int64) for k in (1, 2))
-        self.a, self.b = (np.array([i for lane in kept for i in lane[k]], np.int64) for k in (1, 2))
-        of_lane = np.array([lane[0] for lane in kept], np.int64)
+        parts = [(number, part) for number, text in enumerate(values) if text for part in tokenizers.parts(text)]
+        ids = tokenizers.encoded([part for _, part in parts])
+        of_lane = np.array([number for number, _ in parts], np.int64)
+        wanted = [b" " + part.encode() for _, part in parts]
+        counts = [np.array([len(lane) for lane in own], np.int64) for own in ids]
+        flat = [np.fromiter(chain.from_iterable(own), np.int64, int(n.sum())) for own, n in zip(ids, counts, strict=True)]
+        tables = ((tokenizers.sizes_a, tokenizers.joined_a), (tokenizers.sizes_b, tokenizers.joined_b))
+        other = set().union(*(_differing(of_lane, i, n, *table, wanted) for i, n, table in zip(flat, counts, tables, strict=True)))
+        if other:  # documents that either tokenizer changes have no tokens
+            kept = ~np.isin(of_lane, list(other))
+            flat = [i[np.repeat(kept, n)] for i, n in zip(flat, counts, strict=True)]
+            counts, of_lane = [n[kept] for n in counts], of_lane[kept]
+        (self.a, self.b), (count_a, count_b) = flat, counts
         last = np.cumsum(count_a)
         ends_a, ends_b = np.cumsum(tokenizers.sizes_a[self.a]), np.cumsum(tokenizers.sizes_b[self.b])
         self.groups = merged(ends_a, ends_b, last - count_a, np.cumsum(count_b) - count_b, last)
