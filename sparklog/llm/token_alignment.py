@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 
 from sparklog.llm.byte_level import byte_of_character
 from sparklog.llm.common import stored, texts
+from sparklog.llm.token_counts import CACHE_ROWS, PIECE_CHARS, PieceSplitter
 
 #: Characters after which a text may go on in another lane.
 LANE_CHARS = 1024
@@ -59,16 +59,14 @@ class Tokenizers:
     """Both tokenizers in one Python worker, and the bytes of their tokens."""
 
     def __init__(self, json_a: str, model_b: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(json_a)
-        self.a.encode_special_tokens = True
+        self.a = PieceSplitter(json_a)
+        self.cache: dict[str, list[int]] = {}
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         byte_of = byte_of_character()
         added = {t["id"]: t["content"].encode() for t in json.loads(json_a)["added_tokens"]}
-        entries = self.a.get_vocab(with_added_tokens=True)
+        entries = self.a.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, number in entries.items():
             self.bytes_a[number] = added[number] if number in added else bytes(byte_of[c] for c in entry)
@@ -97,8 +95,21 @@ class Tokenizers:
 
     def encoded(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of both tokenizers for every lane, each with a space before it."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False)]
-        return ids_a, self.b.encode(parts, num_threads=1)
+        return [self.ids_a(f" {p}") for p in parts], self.b.encode(parts, num_threads=1)
+
+    def ids_a(self, text: str) -> list[int]:
+        """Ids of A by pre-tokens, behind a bounded cache; special strings are plain text."""
+        ids: list[int] = []
+        for pieces in self.a.pieces(text):
+            new = {p: [t.id for t in self.a.tokens(p)] for p in set(pieces).difference(self.cache)}
+            self.cache.update(new)
+            ids.extend(chain.from_iterable(map(self.cache.__getitem__, pieces)))
+            for p in new:
+                if len(p) > PIECE_CHARS:
+                    del self.cache[p]
+            if len(self.cache) > CACHE_ROWS:
+                self.cache.clear()
+        return ids
 
 
 def _differing(lanes: np.ndarray, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, joined: np.ndarray, wanted: list[bytes]) -> set[int]:

@@ -53,7 +53,7 @@ PIECES = 1 << 17
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _check(spec: dict) -> None:
+def checked(spec: dict) -> None:
     """Only tokenizers that count pre-token by pre-token with the pattern above."""
     step = spec.get("pre_tokenizer") or {}
     plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
@@ -63,19 +63,17 @@ def _check(spec: dict) -> None:
         raise ValueError("added tokens that take in their neighbourhood are not supported")
 
 
-class PieceCounter:
-    """Tokens of texts in one Python worker, from the library behind a bounded cache."""
+class PieceSplitter:
+    """Pre-tokens of texts in one Python worker, and the library's merges within one."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         from tokenizers import Tokenizer
 
+        checked(json.loads(spec))
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
-        added = [t["content"] for t in json.loads(spec)["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
-        self.cache: dict[str, int] = {}
         self.agreed: set[str] = set(map(chr, range(128)))
         self.odd: set[str] = set()
 
@@ -90,13 +88,6 @@ class PieceCounter:
             (self.agreed if same else self.odd).add(char)
         return self.odd.isdisjoint(text) if self.odd else True
 
-    def segments(self, text: str) -> tuple[int, list[str]]:
-        """How many special strings the text holds, and what stands between them."""
-        if self.special is None or not self.special.search(text):
-            return 0, [text]
-        parts = self.special.split(text)
-        return len(parts) - 1, parts
-
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a text without special strings, in lists of bounded length."""
         if not self._learn(text):
@@ -109,10 +100,29 @@ class PieceCounter:
         while some := list(islice(found, PIECES)):
             yield some
 
+    def tokens(self, piece: str) -> list:
+        """The library's tokens of one pre-token; its splitting of texts has been done."""
+        return self.model.tokenize(piece.encode().decode("latin-1").translate(CHARACTER_OF_BYTE))
+
+
+class PieceCounter(PieceSplitter):
+    """Token counts of pre-tokens behind a bounded cache."""
+
+    def __init__(self, spec: str):
+        super().__init__(spec)
+        added = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.cache: dict[str, int] = {}
+
+    def segments(self, text: str) -> tuple[int, list[str]]:
+        """How many special strings the text holds, and what stands between them."""
+        if self.special is None or not self.special.search(text):
+            return 0, [text]
+        parts = self.special.split(text)
+        return len(parts) - 1, parts
+
     def lengths(self, pieces: list[str]) -> list[int]:
-        """Tokens of each pre-token, by the library's merges; its splitting of texts has been done."""
-        merge = self.model.tokenize
-        return [len(merge(p.encode().decode("latin-1").translate(CHARACTER_OF_BYTE))) for p in pieces]
+        return [len(self.tokens(p)) for p in pieces]
 
     def missed(self, pieces: list[str]) -> int:
         """Tokens of pre-tokens that the table does not hold."""
@@ -215,7 +225,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 1024, rows:
     `tokenizer_json` is the text of a byte-level tokenizer's file, which the driver has read;
     over_limit says whether a text has more than `limit` tokens.
     """
-    _check(json.loads(tokenizer_json))
+    checked(json.loads(tokenizer_json))
     context = docs.sparkSession.sparkContext
     spec = context.broadcast(tokenizer_json)
     frequent = frequent_pieces(texts(docs), spec, rows)
