@@ -17,7 +17,7 @@ from sparklog.schema import NS_PER_DAY
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
-def _date(ns: int) -> dt.date:
+def date_of(ns: int) -> dt.date:
     return _EPOCH.date() + dt.timedelta(days=ns // NS_PER_DAY)
 
 
@@ -33,13 +33,13 @@ def time_bounds(df: DataFrame, since: int | None, until: int | None) -> list[Col
     if since is not None:
         clauses.append(F.col("time_ns") >= since)
         if "day" in types:
-            clauses.append(F.col("day") >= F.lit(_date(since)))
+            clauses.append(F.col("day") >= F.lit(date_of(since)))
         if has_ts:
             clauses.append(F.col("ts") >= F.lit(_micros(since)).cast("timestamp_ntz"))
     if until is not None:
         clauses.append(F.col("time_ns") < until)
         if "day" in types:
-            clauses.append(F.col("day") <= F.lit(_date(until - 1)))
+            clauses.append(F.col("day") <= F.lit(date_of(until - 1)))
         if has_ts:
             clauses.append(F.col("ts") <= F.lit(_micros(until - 1)).cast("timestamp_ntz"))
     return clauses

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklog.operators import query as q
+from sparklog.operators import stored
 from sparklog.operators.summary import distinct_services
 from sparklog.plans.reads import NEWEST, SINCE, SINCE_NS, UNTIL, UNTIL_NS
 from sparklog.plans.registry import SQL_SHOWN, from_logs, registered, shown
+from sparklog.schema import LOG_COLUMNS
 from sparklog.session import scratch_path
 from sparklog.sources import log_table as store
 from sparklog.sources.driver_tables import INGEST_NS, logs_from_events
@@ -25,7 +27,7 @@ def new_table(spark: SparkSession) -> str:
 
 
 def stored_events(spark: SparkSession, sf_dir: str) -> str:
-    """Two batches, the second written twice as a replay would."""
+    """Two batches, the second replayed."""
     name = new_table(spark)
     logs = logs_from_events(spark, sf_dir)
     errors = F.col("severity") >= 17
@@ -82,7 +84,32 @@ def archived_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch, half in enumerate((F.col("severity") >= 9, F.col("severity") < 9)):
         store.write_batch(logs.where(half), name, "half", batch)
         store.archive(spark, name, path, ["2024-01-05"])
-    return _per_day(spark.read.parquet(path))
+    return _per_day(store.read_archive(spark, path))
+
+
+@registered(from_logs(f"{SQL_PER_DAY} WHERE day IN (DATE '2024-01-05', DATE '2024-01-06') GROUP BY day"))
+def archived_after_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies without drop, compaction, a late batch, and a copy that was never recorded: each id once."""
+    name, path = new_table(spark), scratch_path(spark, "archive")
+    days = ["2024-01-05", "2024-01-06"]
+    logs = logs_from_events(spark, sf_dir).where(F.col("day").cast("string").isin(days))
+    kinds = [F.col("severity") >= 13, F.col("severity").between(6, 12), F.col("severity") < 6]
+    for batch in (0, 1):
+        store.write_batch(logs.where(kinds[batch]), name, "part", batch)
+        store.archive(spark, name, path, days, drop=False)
+    lost = logs.where("day = DATE '2024-01-05'").withColumn("origin", F.lit("part/9")).withColumn("copy", F.lit("died"))
+    lost.select(*LOG_COLUMNS, "origin", "copy").write.mode("append").partitionBy("day", "copy").parquet(path)
+    store.compact_day(spark, name, days[0])
+    store.write_batch(logs.where(kinds[2]), name, "part", 2)
+    store.write_batch(logs.where(kinds[1]), name, "part", 1)
+    for _ in range(2):
+        store.archive(spark, name, path, days)
+    return _per_day(store.read_archive(spark, path).unionByName(store.read_logs(spark, name)))
+
+
+@registered(from_logs(f"SELECT {SQL_SHOWN} FROM logs WHERE severity >= 9 {NEWEST} 100"))
+def stored_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(stored.stored_newest(spark, stored_events(spark, sf_dir), min_severity="INFO"))
 
 
 @registered(from_logs(f"{SQL_PER_DAY} WHERE day NOT IN (DATE '2024-01-05', DATE '2024-01-09') GROUP BY day"))
@@ -104,7 +131,7 @@ def archived_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = stored_events(spark, sf_dir)
     path = scratch_path(spark, "archive")
     store.archive(spark, name, path, store.expired_days(spark, name, INGEST_NS, 20))
-    return _per_day(spark.read.parquet(path))
+    return _per_day(store.read_archive(spark, path))
 
 
 @registered(from_logs(f"{SQL_PER_DAY} GROUP BY day"))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from sparklog.operators.ingest import accepted, ingest_batches
 from sparklog.operators.safety import ingest_guards, rate_limit
 from sparklog.operators.throttle import throttle
-from sparklog.sources.log_table import read_logs
+from sparklog.sources.log_table import compact_day, read_logs, write_batch
 from sparklog.sources.otlp_json import read_batches
 from sparklog.streaming.ingest import start_ingest
 from sparklog.streaming.rolling import hourly_counts, read_counts, write_counts
 from sparklog.streaming.stateful import rate_limit_stream, throttle_stream
-from sparklog.streaming.tail import stream_logs, tail_json, tail_logs
+from sparklog.streaming.tail import start_tail, tail_json, to_folder
 
 
 def body(service, at, text):
@@ -81,15 +81,51 @@ def test_stream_equals_batch_and_resumes(spark, log_table, scratch):
     assert events.count() == 3 and {r.severity for r in events.collect()} == {9, 13}
 
     # Tail of the stored table: filters, and only new rows after a restart.
-    tail = scratch("tail")
-    stream = stream_logs(spark, log_table)
-    drain(tail_logs(stream, services=["a"]).select("record_id", "message"), tail)
-    assert spark.read.parquet(f"{tail}/rows").count() == 2
+    told = follow(spark, log_table, scratch("tail"), services=["a"])
+    assert told() == ["1", "3"]
     land(landing, "d.json", [body("a", NOW + 2, "4"), body("z", NOW + 2, "5")])
     run()
-    drain(tail_logs(stream_logs(spark, log_table), services=["a"]).select("record_id", "message"), tail)
-    assert sorted(r.message for r in spark.read.parquet(f"{tail}/rows").collect()) == ["1", "3", "4"]
-    assert tail_json(stream_logs(spark, log_table), services=["a"]).isStreaming
+    assert told() == ["1", "3", "4"]
+
+
+def follow(spark, log_table, path, **options):
+    """A tail into a folder; each call lets it catch up and gives the messages told so far."""
+
+    def told():
+        start_tail(spark, log_table, to_folder(f"{path}/rows"), f"{path}/checkpoint", **options).awaitTermination()
+        return sorted(r.message for r in spark.read.parquet(f"{path}/rows").collect())
+
+    return told
+
+
+def test_tail_through_compaction_and_replay(spark, log_table, make_logs, scratch):
+    """What was compacted before the tail came to it is told, and what was replayed is told once."""
+    batches = [make_logs([{"record_id": f"{n}-{i}", "message": f"{n}-{i}", "time_ns": NOW + n * HOUR * 12} for i in range(3)]) for n in range(5)]
+    told = follow(spark, log_table, scratch("tail"), per_trigger=1)
+    write_batch(batches[0], log_table, "r", 0)
+    assert told() == ["0-0", "0-1", "0-2"]
+    for n in (1, 2):
+        write_batch(batches[n], log_table, "r", n)
+    compact_day(spark, log_table, "2026-04-13")
+    compact_day(spark, log_table, "2026-04-14")
+    for n in (1, 2):
+        write_batch(batches[n], log_table, "r", n)
+    assert read_logs(spark, log_table).count() == 9
+    assert len(told()) == 9
+    write_batch(batches[3], log_table, "r", 3)
+    compact_day(spark, log_table, "2026-04-14")
+    write_batch(batches[4], log_table, "other", 0)
+    assert told() == sorted(f"{n}-{i}" for n in range(5) for i in range(3)) == told()
+
+
+def test_tail_as_json(spark, scratch, make_logs):
+    source = scratch("source")
+    logs = make_logs([{"service": "a"}, {"service": "b"}])
+    logs.write.parquet(source)
+    stream = tail_json(spark.readStream.schema(logs.schema).parquet(source), services=["a"])
+    out = scratch("json")
+    drain(stream.select("record"), out)
+    assert [json.loads(r.record)["service"] for r in spark.read.parquet(f"{out}/rows").collect()] == ["a"]
 
 
 def test_stateful_limits_span_micro_batches(spark, scratch, make_logs):

@@ -1,14 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 
 import pytest
 from log_fixtures import HOUR, NOW
 from pyspark.sql import functions as F
 
-from sparklog.operators.query import filter_logs
+from sparklog.operators.query import filter_logs, query_logs
 from sparklog.operators.rollup import write_rollup
+from sparklog.operators.stored import stored_newest
 from sparklog.operators.summary import partition_info, summary
 from sparklog.plans.rollup_routing import summary_from_rollup
 from sparklog.sources import log_table as store
@@ -98,6 +98,58 @@ def test_late_rows_do_not_replace_an_archive(spark, log_table, make_logs, scratc
     assert spark.read.parquet(path).count() == 6
 
 
+def test_archive_through_crash_and_compaction(spark, log_table, make_logs, scratch, monkeypatch):
+    """Each id is archived once: copies without drop, a copy that died, one that died before the drop."""
+    path, day = scratch("archive"), "2026-04-13"
+
+    def write(batch):
+        store.write_batch(make_logs([{"record_id": f"{batch}-{i}"} for i in range(3)]), log_table, "r", batch)
+
+    def archived():
+        return ids(store.read_archive(spark, path))
+
+    assert archived() == []
+    write(0)
+    store.archive(spark, log_table, path, [day], drop=False)
+    write(1)
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "manifest_path", dying(2)(store.manifest_path))
+        with pytest.raises(Died):  # the copy is written and not recorded
+            store.archive(spark, log_table, path, [day])
+    assert spark.read.parquet(path).count() == 6 and len(archived()) == 3
+    store.compact_day(spark, log_table, day)
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "_drop", dying(1)(store._drop))
+        with pytest.raises(Died):
+            store.archive(spark, log_table, path, [day])
+    assert archived() == [f"{b}-{i}" for b in range(2) for i in range(3)]
+    write(2)
+    store.compact_day(spark, log_table, day)
+    store.archive(spark, log_table, path, [day])
+    assert archived() == [f"{b}-{i}" for b in range(3) for i in range(3)]
+    assert spark.table(log_table).count() == 0
+    write(1)  # a replay of what is archived
+    store.archive(spark, log_table, path, [day])
+    assert len(archived()) == 9
+
+
+def test_newest_reads_only_the_days_it_needs(spark, log_table, make_logs):
+    rows = [{"record_id": f"{d}-{i}", "time_ns": NOW - d * DAY + i, "service": "ab"[d % 2]} for d in range(6) for i in range(4)]
+    store.write_batch(make_logs(rows), log_table, "r", 0)
+
+    def read_days(found):
+        filters = found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+        return [d for d in ("2026-04-13", "2026-04-12", "2026-04-10") if f">= {d}" in filters or f">= {(dt.date.fromisoformat(d) - dt.date(1970, 1, 1)).days}" in filters]
+
+    for limit, options, day in [(3, {}, "2026-04-13"), (6, {}, "2026-04-12"), (3, {"services": ["b"]}, "2026-04-12"), (100, {}, None)]:
+        found = stored_newest(spark, log_table, limit, **options)
+        wanted = query_logs(store.read_logs(spark, log_table), limit, **options)
+        assert found.collect() == wanted.collect()
+        assert read_days(found) == ([day] if day else [])
+    bounded = stored_newest(spark, log_table, 2, since=NOW - 3 * DAY, until=NOW - 2 * DAY + 1)
+    assert [r.record_id for r in bounded.collect()] == ["2-0", "3-3"]
+
+
 def test_batches_add_up_in_a_plain_session(spark, log_table, make_logs):
     key = "spark.sql.sources.partitionOverwriteMode"
     spark.conf.set(key, "static")
@@ -124,18 +176,86 @@ def test_compaction(spark, log_table, make_logs):
     assert spark.table(log_table).count() == 16
 
 
-@pytest.mark.parametrize("dropped", [0, 1])
-def test_compaction_that_died_is_finished(spark, log_table, make_logs, dropped):
-    """Merged files written, some of the sources still there."""
-    for batch in range(2):
+class Died(Exception):
+    pass
+
+
+def dying(at):
+    """A step that stops the run when it is called for the `at`-th time."""
+    calls = []
+
+    def step(wanted):
+        def run(*args):
+            calls.append(args)
+            if len(calls) == at:
+                raise Died
+            return wanted(*args)
+
+        return run
+
+    return step
+
+
+def ids(rows):
+    return sorted(r.record_id for r in rows.collect())
+
+
+@pytest.mark.parametrize(("step", "at"), [("_note", 1), ("_note", 2), ("finish_compaction", 2)])
+def test_compaction_that_died_shows_every_row_once(spark, log_table, make_logs, monkeypatch, step, at):
+    """It died before the merge, after it with the sources still shown, and with the merged files shown."""
+    for batch in range(3):
         store.write_batch(make_logs([{"record_id": f"{batch}"}]), log_table, "r", batch)
-    sources = store._partitions(spark, log_table)
-    note = json.dumps({"generation": 0, "sources": sources})
-    spark.sql(f"ALTER TABLE {log_table} SET TBLPROPERTIES ('sparklog.compaction.2026-04-13' = '{note}')")
-    store.write_batch(make_logs([{"record_id": "0"}, {"record_id": "1"}]), log_table, "compacted", 0)
-    store._drop(spark, log_table, sources[:dropped])
+    with monkeypatch.context() as patched:
+        patched.setattr(store, step, dying(at)(getattr(store, step)))
+        with pytest.raises(Died):
+            store.compact_day(spark, log_table, "2026-04-13")
+        assert ids(store.read_logs(spark, log_table)) == ["0", "1", "2"]
+    store.write_batch(make_logs([{"record_id": "late"}]), log_table, "r", 7)
+    assert ids(store.read_logs(spark, log_table)) == ["0", "1", "2", "late"]
     store.compact_day(spark, log_table, "2026-04-13")
-    assert sorted(r.record_id for r in spark.table(log_table).collect()) == ["0", "1"]
+    assert ids(store.read_logs(spark, log_table)) == ids(spark.table(log_table)) == ["0", "1", "2", "late"]
+    assert len(store._partitions(spark, log_table)) == 1
+
+
+def test_compaction_that_died_while_dropping(spark, log_table, make_logs, monkeypatch):
+    for batch in range(3):
+        store.write_batch(make_logs([{"record_id": f"{batch}"}]), log_table, "r", batch)
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "DROPPED_AT_ONCE", 1)
+        whole = spark.sql
+
+        def dies(text, *args):
+            if "DROP IF EXISTS" in text and "batch_id=1)" in text:
+                raise Died
+            return whole(text, *args)
+
+        patched.setattr(spark, "sql", dies)
+        with pytest.raises(Died):
+            store.compact_day(spark, log_table, "2026-04-13")
+    assert len(store._partitions(spark, log_table)) == 3
+    assert ids(store.read_logs(spark, log_table)) == ["0", "1", "2"]
+    store.finish_compaction(spark, log_table, "2026-04-13")
+    assert ids(spark.table(log_table)) == ["0", "1", "2"]
+
+
+def test_replay_of_a_compacted_batch(spark, log_table, make_logs):
+    batches = [make_logs([{"record_id": f"{batch}"}]) for batch in range(2)]
+    for _ in range(2):
+        for batch, rows in enumerate(batches):
+            store.write_batch(rows, log_table, "r", batch)
+        store.compact_day(spark, log_table, "2026-04-13")
+    assert ids(spark.table(log_table)) == ["0", "1"]
+
+
+def test_batch_that_died_before_its_commit_is_written_again(spark, log_table, make_logs, monkeypatch):
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "_commit", dying(1)(store._commit))
+        with pytest.raises(Died):
+            store.write_batch(make_logs([{"record_id": "half"}]), log_table, "r", 0)
+    store.write_batch(make_logs([{"record_id": "a"}, {"record_id": "b"}]), log_table, "r", 0)
+    assert ids(spark.table(log_table)) == ["a", "b"]
+    with pytest.raises(ValueError, match="run_id"):
+        store.write_batch(make_logs([{}]), log_table, "r/1", 0)
 
 
 def test_stored_bytes(spark, log_table, make_logs):
