@@ -70,19 +70,23 @@ def tokens(message: Column) -> Column:
 
 
 class Match:
-    """A test on a message. Combine with ``&``, ``|`` and ``~``; turn into a Column with ``on``."""
+    """A test on a message. Combine with ``&``, ``|`` and ``~``; turn into a Column with ``on``.
 
-    def __init__(self, test: Callable[[Column], Column]):
-        self.on = test
+    ``form`` says the same to an index: ("words", words, whole), ("near", phrases, distance),
+    ("and", a, b), ("or", a, b) or ("not", a).
+    """
+
+    def __init__(self, test: Callable[[Column], Column], form: tuple):
+        self.on, self.form = test, form
 
     def __and__(self, other: Match) -> Match:
-        return Match(lambda message: self.on(message) & other.on(message))
+        return Match(lambda message: self.on(message) & other.on(message), ("and", self, other))
 
     def __or__(self, other: Match) -> Match:
-        return Match(lambda message: self.on(message) | other.on(message))
+        return Match(lambda message: self.on(message) | other.on(message), ("or", self, other))
 
     def __invert__(self) -> Match:
-        return Match(lambda message: ~self.on(message))
+        return Match(lambda message: ~self.on(message), ("not", self))
 
 
 def _letter(char: str) -> str:
@@ -105,8 +109,9 @@ def _pattern(words: list[str], whole: bool) -> str:
 
 def phrase(text: str) -> Match:
     """The words of ``text`` next to each other, in order. One word is a plain term."""
-    pattern = _pattern(_words(text), whole=True)
-    return Match(lambda message: message.rlike(pattern))
+    words = _words(text)
+    pattern = _pattern(words, whole=True)
+    return Match(lambda message: message.rlike(pattern), ("words", words, True))
 
 
 term = phrase
@@ -114,8 +119,9 @@ term = phrase
 
 def prefix(text: str) -> Match:
     """As a phrase, but the last word may go on."""
-    pattern = _pattern(_words(text), whole=False)
-    return Match(lambda message: message.rlike(pattern))
+    words = _words(text)
+    pattern = _pattern(words, whole=False)
+    return Match(lambda message: message.rlike(pattern), ("words", words, False))
 
 
 def _opens_at(array: Column, opening: list[str], others: list[list[str]], distance: int):
@@ -153,7 +159,7 @@ def near(*phrases: str, distance: int = 10) -> Match:
         # The positional test runs only where every phrase occurs, so the array is not empty.
         return F.when(every, F.exists(F.array(tokens(message)), anywhere)).otherwise(F.lit(False))
 
-    return Match(test)
+    return Match(test, ("near", parts, distance))
 
 
 def check_word(text: str) -> str:

@@ -9,7 +9,7 @@ from sparklog.functions.times import to_ns
 from sparklog.functions.tokens import near, phrase, prefix, term, tokens
 from sparklog.operators import correlate as correlation
 from sparklog.operators import query as q
-from sparklog.operators import search
+from sparklog.operators import position_index, search
 from sparklog.operators.safety import pin_service
 from sparklog.operators.summary import distinct_services_across, union_logs
 from sparklog.plans.registry import (
@@ -177,6 +177,11 @@ def search_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, term("même"))
 
 
+@registered(_search_sql("contains(t, ' etre ') OR contains(t, ' uber ')"))
+def search_accents_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, term("Être") | term("ÜBER"))
+
+
 @registered(_search_sql("contains(t, ' of the ')"))
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, phrase("of the"))
@@ -240,6 +245,42 @@ def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_with_index(logs, spark.read.parquet(path), ["the", "with", "by"]).select("doc_id")
 
 
+def _by_positions(spark: SparkSession, sf_dir: str, match) -> DataFrame:
+    """Records found by an index of positions; the rows that are joined to it have no message."""
+    logs = logs_from_documents(spark, sf_dir)
+    path = scratch_path(spark, "position-index")
+    position_index.write_position_index(logs, path)
+    slim = logs.select("day", "record_id", "doc_id")
+    return position_index.search_positions(slim, spark.read.parquet(path), match).select("doc_id")
+
+
+@registered(_search_sql("contains(t, ' of the ')"))
+def search_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_positions(spark, sf_dir, phrase("Of THE"))
+
+
+@registered(_search_sql("contains(t, ' in tha')"))
+def search_index_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_positions(spark, sf_dir, prefix("in tha"))
+
+
+@registered(_search_sql("contains(t, ' la ') AND NOT (contains(t, ' etre ') OR contains(t, ' de la '))"))
+def search_index_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_positions(spark, sf_dir, term("la") & ~(term("être") | phrase("de la")))
+
+
+@registered(_search_sql("NOT (contains(t, ' und ') AND contains(t, ' der ')) OR contains(t, ' schen ')"))
+def search_index_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_positions(spark, sf_dir, ~(term("und") & term("der")) | term("schen"))
+
+
+@registered(
+    _search_sql(r"""regexp_matches(t, ' by ([^ ]+ ){0,3}with ') OR regexp_matches(t, ' with ([^ ]+ ){0,3}by ')""")
+)
+def search_index_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_positions(spark, sf_dir, near("by", "with", distance=3))
+
+
 @registered(
     f"""WITH {SQL_LOGS} SELECT service FROM logs UNION SELECT source AS service FROM documents
     UNION SELECT role AS service FROM conversations"""

@@ -12,7 +12,7 @@ from sparklog.operators.throttle import throttle
 from sparklog.sources.log_table import compact_day, read_logs, write_batch
 from sparklog.sources.otlp_json import read_batches
 from sparklog.streaming.ingest import start_ingest
-from sparklog.streaming.rolling import hourly_counts, read_counts, write_counts
+from sparklog.streaming.rolling import hourly_counts, merge_counts, read_counts, write_counts
 from sparklog.streaming.stateful import rate_limit_stream, throttle_stream
 from sparklog.streaming.tail import start_tail, tail_json, to_folder
 
@@ -165,3 +165,42 @@ def test_future_stamps_hurt_no_other_row(spark, scratch, make_logs):
     assert sorted(r["count"] for r in summed.collect()) == [1, 6]
     drain(rate_limit_stream(stream(), "service", per_minute=1), limited)
     assert spark.read.parquet(f"{limited}/rows").count() == 2
+
+
+def test_counts_of_several_checkpoints_replays_and_merges(spark, scratch, make_logs):
+    """Two queries on one path, a replayed update, merges by hand and of themselves, a merge that died."""
+    keys, values = ["hour_ns", "service", "severity"], ["count"]
+    source, counts = scratch("source"), scratch("counts")
+    logs = make_logs([{"time_ns": NOW + i * HOUR // 3, "service": "ab"[i % 2]} for i in range(12)]).select("service", "severity", "time_ns")
+    for part in range(4):
+        logs.where(F.floor((F.col("time_ns") - NOW) / HOUR) == part).coalesce(1).write.mode("append").parquet(source)
+
+    def run(checkpoint, **options):
+        stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        write_counts(stream, hourly_counts, f"{counts}/rows", f"{counts}/{checkpoint}", **options).awaitTermination()
+
+    def summed():
+        return sorted(map(tuple, read_counts(spark, f"{counts}/rows", keys, values).collect()))
+
+    def times(n):
+        return sorted((*row[:3], row[3] * n) for row in hourly_counts(logs).collect())
+
+    run("first")
+    assert summed() == times(1)
+    merge_counts(spark, f"{counts}/rows", keys, values)
+    assert summed() == times(1)
+    run("second")
+    assert summed() == times(2)
+    deltas = spark.read.parquet(f"{counts}/rows/deltas")
+    query = deltas.select("query").first()[0]
+    replayed = deltas.where("update = 1").drop("query", "update").collect()
+    # a merge that died before its manifest, then one that is complete; then the replay of a merged update
+    spark.createDataFrame(replayed, deltas.drop("query", "update").schema).write.parquet(f"{counts}/rows/merged/generation=1")
+    assert summed() == times(2)
+    merge_counts(spark, f"{counts}/rows", keys, values)
+    spark.createDataFrame(replayed, deltas.drop("query", "update").schema).write.parquet(f"{counts}/rows/deltas/query={query}/update=1")
+    assert summed() == times(2)
+    run("third", keys=keys, merge_every=2)
+    assert summed() == times(3)
+    kept = {tuple(part for part in os.path.relpath(folder, f"{counts}/rows").split("/")) for folder, _, files in os.walk(f"{counts}/rows") if files}
+    assert len(kept) == 2 and {path[0] for path in kept} == {"merged", "manifest"}
