@@ -21,10 +21,9 @@ ANY_VALUE = (
     "kvlistValue: STRUCT<values: ARRAY<STRUCT<key: STRING, value: STRING>>>>"
 )
 
-# Levels of nesting the generated expression unwraps. Deeper values leave it as their wire
-# text behind a mark, and ``unwrap_deep`` finishes the few rows that carry one.
+# Levels of nesting the generated expression unwraps. Deeper values are told apart by ``is_deep``, kept
+# in wire form in a column of their own, and unwrapped by ``unwrap_deep``.
 NESTING = 1
-DEEP_MARK = "\u0001otlp:"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -42,27 +41,37 @@ def is_finite(value: str) -> str:
     return f"NOT coalesce(isnan({number}) OR abs({number}) = double('Infinity'), false)"
 
 
-def _marked(value: str) -> str:
-    nested = f"{value}.arrayValue IS NOT NULL OR {value}.kvlistValue IS NOT NULL"
-    return f"CASE WHEN {nested} THEN concat('{DEEP_MARK}', to_json({value})) END"
+def _children(value: str) -> str:
+    """The values of a list or of key-value pairs, as raw JSON under their keys."""
+    return (
+        f"coalesce({value}.kvlistValue.values, transform({value}.arrayValue.values, "
+        "raw -> named_struct('key', CAST(NULL AS STRING), 'value', raw)), "
+        "CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING>>))"
+    )
+
+
+def is_deep(value: str) -> str:
+    """Whether a value nests deeper than ``to_variant`` unwraps: a child is a list or key-value pairs itself.
+
+    A name in quotes followed by a colon is a field of the child: quotes within its texts are escaped.
+    """
+    return rf"""exists({_children(value)}, child -> coalesce(child.value RLIKE r'"(arrayValue|kvlistValue)"\s*:', false))"""
+
+
+def to_wire(value: str) -> str:
+    return f"to_json({value})"
 
 
 def _nested_variant(value: str, depth: int) -> str:
     if depth == 0:
-        return f"CAST({_marked(value)} AS VARIANT)"
-    e, raw, inner, items = (f"{name}{depth}" for name in ("e", "raw", "inner", "items"))
-    children = (
-        f"coalesce({value}.kvlistValue.values, transform({value}.arrayValue.values, "
-        f"{raw} -> named_struct('key', CAST(NULL AS STRING), 'value', {raw})), "
-        "CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING>>))"
-    )
-    plain = _let(f"from_json({e}.value, '{ANY_VALUE}')", inner, to_variant(inner, depth - 1))
-    entries = f"transform({children}, {e} -> named_struct('key', coalesce({e}.key, ''), 'value', {plain}))"
+        return "CAST(NULL AS VARIANT)"
+    plain = _let(f"from_json(e.value, '{ANY_VALUE}')", "inner", to_variant("inner", depth - 1))
+    entries = f"transform({_children(value)}, e -> named_struct('key', coalesce(e.key, ''), 'value', {plain}))"
     return _let(
         entries,
-        items,
-        f"CASE WHEN {value}.kvlistValue IS NOT NULL THEN to_variant_object(map_from_entries({items})) "
-        f"WHEN {value}.arrayValue IS NOT NULL THEN to_variant_object(transform({items}, {e} -> {e}.value)) END",
+        "items",
+        f"CASE WHEN {value}.kvlistValue IS NOT NULL THEN to_variant_object(map_from_entries(items)) "
+        f"WHEN {value}.arrayValue IS NOT NULL THEN to_variant_object(transform(items, e -> e.value)) END",
     )
 
 
@@ -105,69 +114,67 @@ def format_double(number: str) -> str:
 
 
 def to_text(value: str) -> str:
-    """Best-effort text: bytes as hex, unset as the empty string.
+    """Best-effort text: bytes as hex, nested values as JSON, unset as the empty string.
 
-    A nested value comes out marked, for ``unwrap_deep`` to turn into plain JSON.
+    A value that is deep comes out in wire form.
     """
+    nested = (
+        "CASE WHEN av.arrayValue IS NULL AND av.kvlistValue IS NULL THEN NULL "
+        f"WHEN {is_deep('av')} THEN {to_wire('av')} ELSE to_json({to_variant('av')}) END"
+    )
     return _let(
         value,
         "av",
         "coalesce(av.stringValue, CAST(try_cast(av.boolValue AS BOOLEAN) AS STRING), "
         "CAST(try_cast(av.intValue AS BIGINT) AS STRING), "
         f"CASE WHEN av.doubleValue IS NOT NULL THEN {format_double(_double('av'))} END, "
-        f"lower(hex(try_to_binary(av.bytesValue, 'base64'))), {_marked('av')}, '')",
+        f"lower(hex(try_to_binary(av.bytesValue, 'base64'))), {nested}, '')",
     )
 
 
-def _deep_finisher():
+def _unwrapper():
     """The Arrow UDF behind ``unwrap_deep``; self-contained, so executors need no package."""
-    mark = DEEP_MARK
+
+    def number(value):
+        if value - value != 0:
+            return "null"  # NaN and infinities have no JSON form
+        return repr(value) if "e" in repr(value) else f"{value!r}e0"  # with an exponent it is read as a double
 
     def plain(value):
-        # One wire AnyValue; nested ones may still be JSON text.
+        # One wire AnyValue as JSON text; nested ones may still be JSON text in wire form.
         value = json.loads(value) if isinstance(value, str) else value or {}
-        if "stringValue" in value:
-            return value["stringValue"]
-        if "boolValue" in value:
-            return value["boolValue"] in (True, "true")
-        if "intValue" in value:
-            return int(value["intValue"])
-        if "doubleValue" in value:
-            number = float(value["doubleValue"])
-            return number if number - number == 0 else None
-        if "bytesValue" in value:
-            return value["bytesValue"]
-        if "arrayValue" in value:
-            return [plain(v) for v in (value["arrayValue"] or {}).get("values") or []]
-        if "kvlistValue" in value:
-            pairs = (value["kvlistValue"] or {}).get("values") or []
-            return {kv.get("key", ""): plain(kv.get("value")) for kv in pairs}
-        return None
-
-    def finish(node):
-        if isinstance(node, str) and node.startswith(mark):
-            return plain(node[len(mark) :])
-        if isinstance(node, list):
-            return [finish(child) for child in node]
-        if isinstance(node, dict):
-            return {key: finish(child) for key, child in node.items()}
-        return node
-
-    def whole(text):
-        try:
-            # A marked text by itself, or JSON with marked strings inside.
-            finished = plain(text[len(mark) :]) if text.startswith(mark) else finish(json.loads(text))
-        except ValueError:
-            return text  # the mark stood in ordinary text
-        return json.dumps(finished, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-
-    def finish_json(texts: pd.Series) -> pd.Series:
-        return texts.map(whole, na_action="ignore")
-
-    return F.pandas_udf(finish_json, T.StringType())
-
-
-def unwrap_deep(json_text: Column) -> Column:
-    """JSON text with marked deep values unwrapped. Unmarked rows send only a NULL to Python."""
-    marked = json_text.startswith(DEEP_MARK) | json_text.contains(json.dumps(DEEP_MARK)[1:-1])
-    return F.coalesce(_deep_finisher()(F.when(marked, json_text)), json_text)
+        if value.get("stringValue") is not None:
+            return json.dumps(value["stringValue"], ensure_ascii=False)
+        if value.get("boolValue") is not None:
+            return "true" if value["boolValue"] in (True, "true") else "false"
+        if value.get("intValue") is not None:
+            return str(int(value["intValue"]))
+        if value.get("doubleValue") is not None:
+            return number(float(value["doubleValue"]))
+        if value.get("bytesValue") is not None:
+            return json.dumps(value["bytesValue"])
+        if value.get("arrayValue") is not None:
+            return "[" + ",".join([plain(v) for v in value["arrayValue"].get("values") or []]) + "]"
+        if value.get("kvlistValue") is not None:
+            pairs = {kv.get("key") or "": plain(kv.get("value")) for kv in value["kvlistValue"].get("values") or []}
+            return "{" + ",".join([f"{json.dumps(k, ensure_ascii=False)}:{v}" for k, v in pairs.items()]) + "}"
+        return "null"
+
+    def whole(wires):
+        found = []
+        for wire in wires:
+            try:
+                found.append(plain(wire))
+            except (ValueError, TypeError, AttributeError, RecursionError):
+                found.append("null")  # only a decoder that is not strict lets such a value through
+        return found
+
+    def unwrap(wires: pd.Series) -> pd.Series:
+        return wires.map(whole, na_action="ignore")
+
+    return F.pandas_udf(unwrap, T.ArrayType(T.StringType()))
+
+
+def unwrap_deep(wires: Column) -> Column:
+    """Plain JSON texts of values in wire form. Rows without any send only a NULL to Python."""
+    return _unwrapper()(F.when(F.size(wires) > 0, wires))

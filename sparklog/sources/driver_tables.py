@@ -167,3 +167,37 @@ def _any_attr(key: str, **value: Column) -> Column:
     names = {"stringValue": "string", "intValue": "string", "doubleValue": "double"}
     fields = [value.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()]
     return F.struct(F.lit(key).alias("key"), F.struct(*fields).alias("value"))
+
+
+def otlp_typed_batches_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as OTLP JSON with bodies and attributes of every type, enum severities, and times that are left out."""
+    events = table(spark, sf_dir, "events").withColumn("e", F.col("event_id").cast("string"))
+    number = F.col("event_id")
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    stamp = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
+    observed = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + 5).cast("string")
+    time = F.when(number % 3 == 0, text('"timeUnixNano":"', stamp, '","observedTimeUnixNano":1,')).when(number % 3 == 1, text('"observedTimeUnixNano":"', observed, '",')).otherwise("")
+    severity = F.when(number % 4 == 0, '"SEVERITY_NUMBER_TRACE"').when(number % 4 == 1, '"SEVERITY_NUMBER_INFO2"').when(number % 4 == 2, '"SEVERITY_NUMBER_FATAL4"').otherwise("13")
+    array = text('{"arrayValue":{"values":[{"intValue":', F.col("e"), '},{"stringValue":"x"}]}}')
+    deep = text('{"kvlistValue":{"values":[{"key":"k","value":{"arrayValue":{"values":[', array, ']}}}]}}')
+    marked = text(r'{"stringValue":"\u0001otlp:{\"intValue\":', F.col("e"), '}"}')
+    bodies = [marked, text('{"intValue":"', F.col("e"), '"}'), F.lit('{"boolValue":true}'), array, deep, text('{"doubleValue":', F.col("e"), ".5}"), F.lit('{"bytesValue":"AQI="}')]
+    body = F.get(F.array(*bodies), (number % len(bodies)).cast("int"))
+    own = F.when(number % 2 == 0, text('{"key":"host.name","value":{"stringValue":"own-', F.col("e"), '"}},')).otherwise("")
+    attributes = text(
+        "[", own, '{"key":"int","value":{"intValue":', F.col("e"), '}},{"key":"double","value":{"doubleValue":', F.col("e"), '.25}},',
+        '{"key":"bool","value":{"boolValue":false}},{"key":"bytes","value":{"bytesValue":"AQI="}},{"key":"unset","value":{}},',
+        '{"key":"list","value":', array, '},{"key":"deep","value":', deep, '},{"key":"mark","value":', marked, "}]",
+    )
+    record = text("{", time, '"severityNumber":', severity, ',"body":', body, ',"attributes":', attributes, "}")
+    rows = events.select(F.call_function("div", number, F.lit(RECORDS_PER_BATCH)).alias("batch_no"), F.struct("event_id", record.alias("r")).alias("r"))
+    joined = rows.groupBy("batch_no").agg(F.array_join(F.array_sort(F.collect_list("r"))["r"], ",").alias("records"))
+    resource = '{"resourceLogs":[{"resource":{"attributes":[{"key":"host.name","value":{"stringValue":"outer"}}]},"scopeLogs":[{"logRecords":['
+    return joined.select(
+        text(resource, F.col("records"), "]}]}]}").alias("value"),
+        F.concat(F.lit("typed/"), F.col("batch_no").cast("string")).alias("source"),
+        F.lit(INGEST_NS).cast("bigint").alias("ingest_ns"),
+    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.functions.anyvalue import ANY_VALUE, is_finite, to_text, to_variant
+from sparklog.functions.anyvalue import ANY_VALUE, is_deep, is_finite, to_text, to_variant, to_wire
+from sparklog.sources.otlp_format import breaks_format, canonical
 from sparklog.schema import MAX_BATCH_BYTES, SERVICE_INSTANCE, SERVICE_NAME, SERVICE_VERSION
 
 _KEY_VALUES = f"ARRAY<STRUCT<key: STRING, value: {ANY_VALUE}>>"
@@ -17,17 +18,6 @@ _SCOPE_LOGS = f"STRUCT<scope: STRUCT<name: STRING>, logRecords: ARRAY<{_RECORD}>
 _RESOURCE_LOGS = f"STRUCT<resource: STRUCT<attributes: {_KEY_VALUES}>, scopeLogs: ARRAY<{_SCOPE_LOGS}>>"
 BATCH_SCHEMA = f"resourceLogs ARRAY<{_RESOURCE_LOGS}>, malformed STRING"
 
-# The field names of an OTLP logs export request. A name outside this list
-# makes a batch malformed, as the wire format is closed.
-KNOWN_FIELDS = [
-    "resourceLogs", "resource", "scopeLogs", "schemaUrl", "scope", "logRecords",
-    "name", "version", "attributes", "droppedAttributesCount", "entityRefs",
-    "timeUnixNano", "observedTimeUnixNano", "severityNumber", "severityText", "body",
-    "flags", "traceId", "spanId", "eventName",
-    "key", "value", "stringValue", "boolValue", "intValue", "doubleValue", "bytesValue",
-    "arrayValue", "kvlistValue", "values", "type", "idKeys", "descriptionKeys",
-]
-
 
 def _with_source(lines: DataFrame) -> DataFrame:
     return lines.select(
@@ -59,26 +49,11 @@ def read_batches_stream(
     return _with_source(reader.format("text").load(path))
 
 
-
-def _breaks_format(json_text: Column) -> Column:
-    """Not exactly one JSON object, or a field name the format does not define."""
-    # In brackets, text after the object turns into a syntax error or a second element.
-    wrapped = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit("]")))
-
-    def broken(batch: Column) -> Column:
-        names = F.regexp_extract_all(
-            F.schema_of_variant(batch), F.lit(r"[<,] ?(`[^`]*`|[^<>,:` ]+): "), F.lit(1)
-        )
-        second = F.try_variant_get(batch, "$[1]", "variant").isNotNull()
-        return batch.isNull() | second | F.exists(names, lambda name: ~name.isin(KNOWN_FIELDS))
-
-    return F.exists(F.array(wrapped), broken)
-
-
 def parse_batches(batches: DataFrame, strict: bool = True) -> DataFrame:
     """Add ``batch`` (parsed, NULL if rejected), ``batch_key`` and ``batch_reject``.
 
-    ``strict`` also refuses batches with field names the format does not define.
+    ``strict`` also refuses batches with a field name that the format does not define at its place, and values
+    that are not of their field's type. Names may be spelled ``resourceLogs`` or ``resource_logs``.
     """
     # A converted batch brings the size of the body it was made from.
     size = F.col("body_bytes") if "body_bytes" in batches.columns else F.octet_length("value")
@@ -86,10 +61,11 @@ def parse_batches(batches: DataFrame, strict: bool = True) -> DataFrame:
     parsed = (
         batches.where(F.trim("value") != "")
         .withColumn("batch_key", F.md5(F.concat_ws("|", "source", "value")))
+        .withColumn("named", F.when(~oversize, canonical(F.col("value"))))
         .withColumn(
             "parsed",
             F.from_json(
-                F.when(~oversize, F.col("value")),
+                "named",
                 BATCH_SCHEMA,
                 {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"},
             ),
@@ -97,12 +73,12 @@ def parse_batches(batches: DataFrame, strict: bool = True) -> DataFrame:
     )
     bad = F.col("parsed").isNull() | F.col("parsed.malformed").isNotNull()
     if strict:
-        bad = bad | F.coalesce(_breaks_format(F.col("value")), F.lit(True))
+        bad = bad | F.coalesce(breaks_format(F.col("named")), F.lit(True))
     reason = F.when(oversize, "oversize").when(bad, "bad_format")
     return (
         parsed.withColumn("batch_reject", reason)
         .withColumn("batch", F.when(F.col("batch_reject").isNull(), F.col("parsed.resourceLogs")))
-        .drop("parsed")
+        .drop("parsed", "named")
     )
 
 
@@ -124,11 +100,17 @@ def entries(pairs: str) -> Column:
 
 
 def plain_attributes(attributes: str, promoted: list[str]) -> Column:
-    """Map of VARIANT without the promoted keys and without values JSON cannot hold."""
-    kept = f"map_filter({attributes}, (k, v) -> k NOT IN ({_listed(promoted)}) AND {is_finite('v')})"
+    """Map of VARIANT without the promoted keys, without values JSON cannot hold and without deep ones."""
+    kept = f"map_filter({attributes}, (k, v) -> k NOT IN ({_listed(promoted)}) AND {is_finite('v')} AND NOT {is_deep('v')})"
     return F.expr(f"transform_values({kept}, (k, v) -> {to_variant('v')})")
 
 
+def deep_attributes(attributes: str, promoted: list[str]) -> Column:
+    """Map of the deep values in wire form, without the promoted keys."""
+    kept = f"map_filter({attributes}, (k, v) -> k NOT IN ({_listed(promoted)}) AND {is_deep('v')})"
+    return F.expr(f"transform_values({kept}, (k, v) -> {to_wire('v')})")
+
+
 def text_attributes(attributes: str, keys: list[str]) -> Column:
     """Map of text for the given keys only."""
     kept = f"map_filter({attributes}, (k, v) -> k IN ({_listed(keys)}))"
@@ -157,6 +139,7 @@ def flatten(parsed: DataFrame) -> DataFrame:
         "resource_pos",
         text_attributes("resource_map", promoted).alias("promoted"),
         plain_attributes("resource_map", promoted).alias("resource_attrs"),
+        deep_attributes("resource_map", promoted).alias("resource_deep"),
         dropped_values("resource_map").alias("resource_dropped"),
         F.posexplode_outer("resource_logs.scopeLogs").alias("scope_pos", "scope_logs"),
     ).where(F.col("scope_logs").isNotNull())
