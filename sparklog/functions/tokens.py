@@ -79,6 +79,9 @@ class Match:
     def __init__(self, test: Callable[[Column], Column], form: tuple):
         self.on, self.form = test, form
 
+    def __repr__(self) -> str:
+        return f"Match{self.form!r}"
+
     def __and__(self, other: Match) -> Match:
         return Match(lambda message: self.on(message) & other.on(message), ("and", self, other))
 

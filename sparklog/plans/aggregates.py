@@ -213,3 +213,25 @@ def truncated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     capped = safety.cap_record_size(logs_from_documents(spark, sf_dir), 2048)
     return capped.select("doc_id", "message", "attrs_json")
+
+
+@registered(
+    """SELECT doc_id, strlen(text) * 3 + strlen(CAST(to_json(text) AS VARCHAR)) + 18 > 4096 AS truncated,
+    true AS fits, true AS whole_start, true AS valid FROM documents"""
+)
+def size_cap_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text as message, twice as stack trace and once as attribute: all together at most 4 KB."""
+    logs = logs_from_documents(spark, sf_dir)
+    text = F.col("message")
+    attrs = F.to_json(F.struct(F.lit("x").alias("a"), text.alias("text")))
+    exception = F.struct(F.lit("E").alias("type"), F.lit("").alias("message"), F.concat(text, text).alias("stacktrace"))
+    whole = logs.withColumn("attrs_json", attrs).withColumn("exception", exception).withColumn("original", text)
+    capped = safety.cap_whole_record(whole, 4096)
+    mark = F.get_json_object("attrs_json", "$.truncated")
+    return capped.select(
+        "doc_id",
+        (F.coalesce(mark, F.lit("")) == "true").alias("truncated"),
+        (safety.record_bytes(capped) <= 4096).alias("fits"),
+        (F.startswith("original", "message") & F.startswith(F.concat("original", "original"), "exception.stacktrace")).alias("whole_start"),
+        F.try_parse_json("attrs_json").isNotNull().alias("valid"),
+    )

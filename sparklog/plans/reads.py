@@ -9,7 +9,7 @@ from sparklog.functions.times import to_ns
 from sparklog.functions.tokens import near, phrase, prefix, term, tokens
 from sparklog.operators import correlate as correlation
 from sparklog.operators import query as q
-from sparklog.operators import position_index, search
+from sparklog.operators import paging, position_index, search
 from sparklog.operators.safety import pin_service
 from sparklog.operators.summary import distinct_services_across, union_logs
 from sparklog.plans.registry import (
@@ -91,6 +91,22 @@ def page_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(q.query_logs(logs_from_events(spark, sf_dir), min_severity="DEBUG", after=after, limit=50))
 
 
+@registered(
+    from_logs("""SELECT record_id, time_ns, CAST(CASE WHEN user_id % 5 = 0 THEN 3 ELSE 1 END AS BIGINT) AS copies
+    FROM logs WHERE severity >= 17""")
+)
+def pages_join_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a query one after the other; every fifth user's rows are there three times, alike to the byte."""
+    logs = logs_from_events(spark, sf_dir)
+    repeated = logs.where(F.col("user_id") % 5 == 0)
+    logs = logs.unionByName(repeated).unionByName(repeated)
+    pages = [paging.page_logs(logs, 997, min_severity="ERROR")]
+    while pages[-1].next_cursor:
+        pages.append(paging.page_logs(logs, 997, pages[-1].next_cursor, min_severity="ERROR"))
+    rows = union_logs([page.rows for page in pages])
+    return rows.groupBy("record_id", "time_ns").agg(F.count("*").alias("copies"))
+
+
 @registered(from_logs(f"SELECT {SQL_SHOWN} FROM logs WHERE trace = md5('7')"))
 def trace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     seven = "8f14e45fceea167a5a36dedd4bea2543"

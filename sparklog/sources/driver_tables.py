@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,3 +204,19 @@ def otlp_typed_batches_from_events(spark: SparkSession, sf_dir: str) -> DataFram
         F.concat(F.lit("typed/"), F.col("batch_no").cast("string")).alias("source"),
         F.lit(INGEST_NS).cast("bigint").alias("ingest_ns"),
     )
+
+
+def land_bodies(bodies: DataFrame, folder: str) -> None:
+    """Land (name, value) as one file each, as senders of binary batches would; Spark itself writes no such files."""
+    uri = folder if "://" in folder else folder.replace("file:", "", 1)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = FileSystem.from_uri(uri)
+        store.create_dir(root)
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{name}") as file:
+                    file.write(value)
+            yield batch.select(["name"])
+
+    bodies.select("name", "value").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
