@@ -3,8 +3,8 @@
 Each document has a row of text statistics. From a bounded sample of labelled documents come
 pairs of a preferred (label 1) and a rejected one (label 0); the weights minimise the logistic
 loss on the difference of their features, which is the Bradley-Terry likelihood. A document's
-score is its weighted sum, and it passes above the quantile of the sample's scores below which the share of
-rejected documents lies. The reported score maps that threshold to PASS, in a logistic curve.
+score is its weighted sum, and it passes above a quantile of the scores of all documents: that of the share of
+rejected ones among all usable labels. The reported score maps that threshold to PASS, in a logistic curve.
 
 An empty or null text is a row of zeros and gets a score like any other. Rows are independent,
 so repeated rows and null ids keep one result each. Without labels of both kinds every score is
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklog.llm.common import held_out, texts
-from sparklog.llm.samples import labelled_sample
+from sparklog.llm.common import held_out, stored, texts
+from sparklog.llm.samples import labelled_sample, usable_labels
 
 PASS = 0.3
 PAIRS_A_ROW = 8
+#: The threshold's rank is right to one in so many documents.
+QUANTILE_ACCURACY = 10_000
 STEPS = 400
 
 _LETTERS, _UPPER, _DIGITS = re.compile(r"[^\W\d_]"), re.compile(r"[A-ZÀ-Þ]"), re.compile(r"[0-9]")
@@ -102,15 +104,11 @@ class Ranking:
             first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
             weights = weights - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         self.weights = weights
-        own = x @ weights
-        self.threshold = float(np.quantile(own, len(bad) / len(labels)))
-        self.scale = float(own.std()) / 2 + 1e-9
+        self.scale = float((x @ weights).std()) / 2 + 1e-9
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(rows), self.constant)
-        own = expanded(rows, self.centre, self.spread) @ self.weights
-        return 1 / (1 + np.exp(-np.clip((own - self.threshold) / self.scale + math.log(PASS / (1 - PASS)), -30, 30)))
+    def worths(self, rows: np.ndarray) -> np.ndarray:
+        """The weighted sums, in units of their spread."""
+        return expanded(rows, self.centre, self.spread) @ self.weights / self.scale
 
 
 def _batch_statistics(column: pa.Array) -> np.ndarray:
@@ -130,13 +128,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ranking:
     return Ranking(np.array(found["rows"].tolist(), float).reshape(-1, N_STATISTICS), found["label"].to_numpy(int))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
-    model = fit(docs, labels)
+def worths(docs: DataFrame, model: Ranking) -> DataFrame:
+    """(doc_id, worth) of every document."""
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(_batch_statistics(batch.column(1))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.worths(_batch_statistics(batch.column(1))))], ["doc_id", "worth"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, worth double")
 
-    scores = texts(docs).mapInArrow(scored, "doc_id long, score double")
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    model = fit(docs, labels)
+    if model.constant is not None:
+        scores = texts(docs).select("doc_id", F.lit(model.constant).alias("score"))
+    else:
+        found = stored(worths(docs, model), "worths")
+        rejected = usable_labels(labels, "quality").agg(F.avg(1 - F.col("label"))).first()[0]
+        threshold = found.agg(F.percentile_approx("worth", rejected, QUANTILE_ACCURACY)).first()[0]
+        place = F.greatest(F.least(F.col("worth") - F.lit(threshold) + math.log(PASS / (1 - PASS)), F.lit(30.0)), F.lit(-30.0))
+        scores = found.select("doc_id", (1 / (1 + F.exp(-place))).alias("score"))
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PASS).cast("int").alias("predicted"))
