@@ -55,9 +55,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, keys: list[str], first: Column, second: Column) -> DataFrame:
-    """keys, fingerprint, second_fingerprint: of two texts of each row, in one pass.
+    """keys, fingerprint, second_fingerprint, copies: of two texts of each row, in one pass.
 
-    Rows with equal keys count as one, so the keys must tell different texts apart. Nothing is
+    Rows with equal keys become one, with their number, so the keys must tell different texts apart. Nothing is
     shuffled if the rows already lie together by one of the keys.
     """
     # _row keeps repeated rows apart, so that their sums stay in their lanes
@@ -67,9 +67,11 @@ def fingerprints(docs: DataFrame, keys: list[str], first: Column, second: Column
         "_chunk", F.floor((F.col("_i") - F.when(F.col("_second"), F.col("_na")).otherwise(0)) / CHUNK)
     )
     lanes = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(LANES))).alias(f"_v{i}") for i in range(16)]
-    counted = placed.groupBy(*keys, "_row", "_second", "_chunk").agg(F.count("_h").alias("_weight"), *lanes)
+    # of each row one term, or the one row of a text without any, is the first
+    first_term = F.sum(F.when(F.coalesce(F.col("_i"), F.lit(0)) == 0, 1).otherwise(0)).alias("_first")
+    counted = placed.groupBy(*keys, "_row", "_second", "_chunk").agg(F.count("_h").alias("_weight"), first_term, *lanes)
     return counted.groupBy(*keys).agg(
-        _signs(~F.col("_second")).alias("fingerprint"), _signs(F.col("_second")).alias("second_fingerprint")
+        _signs(~F.col("_second")).alias("fingerprint"), _signs(F.col("_second")).alias("second_fingerprint"), F.sum("_first").alias("copies")
     )
 
 
@@ -152,7 +154,7 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3, blocks:
 def edited_likeness(docs: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
     """Fingerprints of all texts and of their edited copies, and how alike they stay.
 
-    One row for each distinct (doc_id, text). n_within is, for ids divisible by `every`, the
+    One row for each input row. n_within is, for ids divisible by `every`, the
     number of documents within `radius` bits, itself included; null for other ids. A null text
     is empty. A null id has no next document: its edited text ends where the last third began, and
     its near_next is null.
@@ -170,14 +172,15 @@ def edited_likeness(docs: DataFrame, radius: int = 3, every: int = 100) -> DataF
     prints = stored(printed(with_next(rows.where("doc_id IS NOT NULL"))), "prints").union(stored(printed(alone), "prints"))
     nexts = prints.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_next")).agg(F.min("fingerprint").alias("_next_print"))
     asked = prints.where(F.col("doc_id") % every == 0)
-    sizes = prints.groupBy(F.col("fingerprint").alias("_other")).agg(F.count(F.lit(1)).alias("_copies"))
+    sizes = prints.groupBy(F.col("fingerprint").alias("_other")).agg(F.sum("copies").alias("_copies"))
     found = within_radius(asked, prints, radius)
     near = found.join(sizes, found["fingerprint"] == sizes["_other"]).groupBy(F.col("query").alias("_print")).agg(F.sum("_copies").alias("_within"))
     asked_ids = asked.join(near, asked["fingerprint"] == near["_print"]).select(F.col("doc_id").alias("_asked"), F.col("_text").alias("_asked_text"), "_within")
     joined = prints.join(nexts, prints["next_id"] == nexts["_next"], "left").join(
         asked_ids, (F.col("doc_id") == F.col("_asked")) & (F.col("_text") == F.col("_asked_text")), "left"
     )
-    return joined.select(
+    each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(
         "doc_id",
         "n_chars",
         "edited_sha256",

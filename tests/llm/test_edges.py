@@ -29,9 +29,13 @@ def test_one_row_for_each_row(name, awkward, nothing, labels, benchmark):
     assert OPERATORS[name](nothing, labels.limit(0), benchmark.limit(0)).count() == 0
 
 
-def test_simhash_counts_repeated_rows_once(awkward, nothing):
+def test_simhash_keeps_repeated_rows(spark, awkward, nothing):
     rows = simhash.edited_likeness(awkward).collect()
-    assert len(rows) == 14 and simhash.edited_likeness(nothing).count() == 0
+    assert len(rows) == 15 and simhash.edited_likeness(nothing).count() == 0
+    assert len([r for r in rows if r.doc_id == 4]) == 2
+    copies = spark.createDataFrame([(100, "a b c")] * 3 + [(101, "a b c"), (102, ""), (102, "")], "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_within) for r in simhash.edited_likeness(copies).collect())
+    assert found == [(100, 4)] * 3 + [(101, None), (102, None), (102, None)]
     by_id = {r.doc_id: r for r in rows if r.doc_id is not None}
     assert by_id[1].fingerprint == "0" * 16 == by_id[2].fingerprint and by_id[0].near_next is not None
     assert all(r.near_next is None for r in rows if r.doc_id is None)
