@@ -1,8 +1,8 @@
 """License scan by ordered signature rules (DataFrame functions only).
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. The base finds
-three phrases by consecutive words. Texts that hold a keyword of some rule are joined by single
-spaces, and the rules whose keyword they hold are located in them. A match is suppressed if
+three phrases by consecutive words. Texts are joined by single spaces, and the rules whose keyword they
+hold are located in them. A match is suppressed if
 another of the same or a higher rank contains it, or if it overlaps one of a higher rank; of
 equal spans and ranks the earlier rule stays. What is left gives the labels.
 
@@ -12,6 +12,7 @@ result; every input row gives one output row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,24 +32,39 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prepared(docs: DataFrame) -> DataFrame:
-    """(doc_id, _text, n_words, _places, _joined) of every row, in one pass over the texts.
+    """(doc_id, _text, n_words, _places, _keywords, _joined) of every row, in one pass over the texts.
 
-    _text tells different texts of one id apart. _places are the base's, and _joined the words of texts
-    that hold the first word of some keyword or phrase, joined by spaces; null in all others.
+    _text tells different texts of one id apart. _places are the base's. _keywords are those of the
+    rules that the text holds, looked for only if their first word is one of its words; _joined has
+    the words of texts with a keyword, joined by spaces. All three are null in most texts.
     """
-    first_words = sorted({r.keyword.split()[0] for r in all_rules()} | {phrase.split()[0] for phrase, _ in PHRASES})
+    keywords = sorted({r.keyword for r in all_rules()})
+    first_words = sorted({k.split()[0] for k in [*keywords, *(phrase for phrase, _ in PHRASES)]})
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(k.split()[0]).alias("first")) for k in keywords])
+    firsts = F.array(*map(F.lit, first_words))
+
+    def scanned(joined: Column, present: Column) -> Column:
+        own = F.transform(F.filter(table, lambda k: F.array_contains(present, k["first"]) & joined.contains(k["keyword"])), lambda k: k["keyword"])
+        phrase = reduce(lambda x, y: x | y, [joined.contains(phrase) for phrase, _ in PHRASES])
+        return let(own, lambda k: F.struct(phrase.alias("phrase"), F.when(F.size(k) > 0, k).alias("keywords"), F.when(F.size(k) > 0, joined).alias("joined")))
+
     words = texts(docs).select("doc_id", F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("a"))
-    gate = F.arrays_overlap("a", F.array(*map(F.lit, first_words)))
-    shifted = words.select(
-        "doc_id", "_text", "a", F.slice("a", 2, F.size("a")).alias("b"), F.slice("a", 3, F.size("a")).alias("c"), gate.alias("_gate")
-    )
-    return shifted.select(
+    found = let(F.array_join("a", " "), lambda joined: let(F.array_intersect(firsts, F.col("a")), lambda present: scanned(joined, present)))
+    gated = words.select("doc_id", "_text", "a", F.when(F.arrays_overlap("a", firsts), found).alias("_s"))
+    zipped = F.arrays_zip(F.col("a").alias("a"), F.slice("a", 2, F.size("a")).alias("b"), F.slice("a", 3, F.size("a")).alias("c"))
+    return gated.select(
         "doc_id",
         "_text",
         F.size("a").cast("long").alias("n_words"),
-        F.when(F.col("_gate"), _labelled(F.arrays_zip("a", "b", "c"))).alias("_places"),
-        F.when(F.col("_gate"), F.array_join("a", " ")).alias("_joined"),
+        F.when(F.col("_s.phrase"), _labelled(zipped)).alias("_places"),
+        F.col("_s.keywords").alias("_keywords"),
+        F.col("_s.joined").alias("_joined"),
     )
 
 
@@ -76,8 +92,9 @@ def rule_hits(rows: DataFrame) -> DataFrame:
             for n, r in enumerate(rules)
         ]
     )
-    gated = rows.where("_joined IS NOT NULL").select("doc_id", "_text", "_joined").dropDuplicates(["doc_id", "_text"])
-    tried = gated.select("doc_id", "_text", "_joined", F.explode(table).alias("_r")).where(F.expr("contains(_joined, _r.keyword)"))
+    gated = rows.where("_joined IS NOT NULL").select("doc_id", "_text", "_keywords", "_joined").dropDuplicates(["doc_id", "_text"])
+    own = F.filter(table, lambda r: F.array_contains(F.col("_keywords"), r["keyword"]))
+    tried = gated.select("doc_id", "_text", "_joined", F.explode(own).alias("_r"))
     matched = tried.select(
         "doc_id", "_text", "_r.rule", "_r.label", "_r.rank",
         F.expr("regexp_extract_all(_joined, _r.pattern, 0)").alias("_found"),
