@@ -5,7 +5,8 @@ model (B, which adds that space). Byte offsets at which tokens of both end cut t
 pairs of an A and a B token of a group are links.
 
 Long texts are dealt into lanes at single spaces between visible Latin characters, where tokens of both
-tokenizers end; each lane is encoded by itself. A state vector holds, for every lane of a slice of
+tokenizers end; each lane is encoded by itself. A's ids come from a faster library with the same vocabulary where
+both class all characters alike, else from its own. A state vector holds, for every lane of a slice of
 documents, the A and the B token it is at and where its group began. One step moves all lanes:
 the token that ends first is passed, and where both end at one offset the group is closed, its cut and
 its links are emitted, and lanes that are done leave the vector. Links are emitted as the rectangle of
@@ -23,6 +24,7 @@ count as documents of their own. An empty table gives no row.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -31,13 +33,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklog.llm.byte_level import byte_of_character
 from sparklog.llm.common import stored, texts
-from sparklog.llm.token_counts import CACHE_ROWS, PIECE_CHARS, PieceSplitter
+from sparklog.llm.token_counts import BYTE_LEVEL_PATTERN, checked
 
 #: Characters after which a text may go on in another lane.
 LANE_CHARS = 1024
@@ -47,6 +50,8 @@ SLICE_CHARS = 1 << 20
 WIDE = 4096
 #: Pairs whose counts are broadcast, 17 bytes each.
 FREQUENT = 1 << 20
+#: Longer lanes are left to the slower library, whose time doesn't grow with the square of a piece.
+FAST_CHARS = 4 * LANE_CHARS
 #: Distinct pairs that a task holds before it hands their counts on.
 HELD = 1 << 21
 
@@ -60,16 +65,20 @@ class Tokenizers:
 
     def __init__(self, json_a: str, model_b: bytes):
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.a = PieceSplitter(json_a)
-        self.cache: dict[str, list[int]] = {}
+        checked(json.loads(json_a))
+        self.a = Tokenizer.from_str(json_a)
+        self.a.encode_special_tokens = True
+        self.agreed, self.odd = set(map(chr, range(128))), set()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         byte_of = byte_of_character()
         added = {t["id"]: t["content"].encode() for t in json.loads(json_a)["added_tokens"]}
-        entries = self.a.tokenizer.get_vocab(with_added_tokens=True)
+        entries = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, number in entries.items():
             self.bytes_a[number] = added[number] if number in added else bytes(byte_of[c] for c in entry)
+        self.fast = self._fast(json.loads(json_a)["model"])
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [self._piece_bytes(p) for p in pieces]
         # a lane may end before a space only if no piece goes on over it
@@ -80,6 +89,14 @@ class Tokenizers:
         self.shown_a = np.array([f"{k}{sign}" for sign in ",|" for k in range(len(self.bytes_a))], object)
         self.shown_b = np.array([f"{k}{sign}" for sign in ",;" for k in range(len(self.bytes_b))], object)
 
+    def _fast(self, model: dict):
+        """The same merges in a library that is several times faster; it takes ids for ranks, so these must agree."""
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if any(model["vocab"]["".join(m)] != 256 + k for k, m in enumerate(merges)):
+            return None
+        ranks = {self.bytes_a[number]: number for number in model["vocab"].values()}
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     @staticmethod
     def _piece_bytes(piece: str) -> bytes:
         byte = BYTE_PIECE.fullmatch(piece)
@@ -93,23 +110,34 @@ class Tokenizers:
             low = end.end()
         return [*found, text[low:]]
 
-    def encoded(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of both tokenizers for every lane, each with a space before it."""
-        return [self.ids_a(f" {p}") for p in parts], self.b.encode(parts, num_threads=1)
-
-    def ids_a(self, text: str) -> list[int]:
-        """Ids of A by pre-tokens, behind a bounded cache; special strings are plain text."""
-        ids: list[int] = []
-        for pieces in self.a.pieces(text):
-            new = {p: [t.id for t in self.a.tokens(p)] for p in set(pieces).difference(self.cache)}
-            self.cache.update(new)
-            ids.extend(chain.from_iterable(map(self.cache.__getitem__, pieces)))
-            for p in new:
-                if len(p) > PIECE_CHARS:
-                    del self.cache[p]
-            if len(self.cache) > CACHE_ROWS:
-                self.cache.clear()
-        return ids
+    def _learn(self, chars: set[str]) -> None:
+        """Ask both libraries how they class characters: whether each goes on a word, a number, signs.
+
+        The second one tells by a vocabulary in which each probe is a token if it is not split.
+        """
+        probes = {before + char: 256 + k for k, (char, before) in enumerate((c, b) for c in sorted(chars) for b in "a1!")}
+        ranks = {bytes([b]): b for b in range(256)} | {text.encode(): number for text, number in probes.items()}
+        asked = tiktoken.Encoding("probe", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        split = self.a.pre_tokenizer.pre_tokenize_str
+        same = {text: (len(split(text)) == 1) == (len(asked.encode_ordinary(text)) == 1) for text in probes}
+        for char in chars:
+            (self.agreed if all(same[before + char] for before in "a1!") else self.odd).add(char)
+
+    def encoded(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all lanes on end, how many each lane has) of both tokenizers, each lane with a space before it."""
+        if new := set().union(*parts) - self.agreed - self.odd:
+            self._learn(new)
+        ids_a = [
+            self.fast.encode_ordinary(f" {part}")
+            if self.fast and len(part) <= FAST_CHARS and (not self.odd or self.odd.isdisjoint(part))
+            else self.a.encode(f" {part}", add_special_tokens=False).ids
+            for part in parts
+        ]
+        found = []
+        for own in (ids_a, self.b.encode(parts, num_threads=1)):
+            counts = np.fromiter(map(len, own), np.int64, len(own))
+            found.append((np.fromiter(chain.from_iterable(own), np.int64, int(counts.sum())), counts))
+        return found
 
 
 def _differing(lanes: np.ndarray, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, joined: np.ndarray, wanted: list[bytes]) -> set[int]:
@@ -136,6 +164,7 @@ def _tokenizers(spec: tuple[str, bytes]) -> Tokenizers:
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Tokenizers(*spec)
+        gc.freeze()  # the collector need not walk the vocabularies again and again
     return _LOADED[key]
 
 
@@ -200,8 +229,8 @@ class _Slice:
         ids = tokenizers.encoded([part for _, part in parts])
         of_lane = np.array([number for number, _ in parts], np.int64)
         wanted = [b" " + part.encode() for _, part in parts]
-        counts = [np.array([len(lane) for lane in own], np.int64) for own in ids]
-        flat = [np.fromiter(chain.from_iterable(own), np.int64, int(n.sum())) for own, n in zip(ids, counts, strict=True)]
+        (flat_a, counts_a), (flat_b, counts_b) = ids
+        flat, counts = [flat_a, flat_b], [counts_a, counts_b]
         tables = ((tokenizers.sizes_a, tokenizers.joined_a), (tokenizers.sizes_b, tokenizers.joined_b))
         other = set().union(*(_differing(of_lane, i, n, *table, wanted) for i, n, table in zip(flat, counts, tables, strict=True)))
         if other:  # documents that either tokenizer changes have no tokens

@@ -100,6 +100,7 @@ def strange(spark):
         "a▁b", "<|endoftext|> and <s> and <0x41>", "\x00 \x01", "  two  spaces   three", " ", "\n\n", "  x", "日本語のテキスト、句読点。",
         "\U0001f600" * 50, "=" * 5000, "ab" * 3000 + " " + "é" * 900, "mixed ́ marks é " * 80, "word " * 700, "e=mc² — “quoted” … " * 60, "Ünï cödé " * 300,
         "it's we'll  I'd 'S", "tab\tand\r\nlines", "0123456789" * 200, "A" * 3000, "x", "",
+        "a\U00016ea0b1\U0001e900! \u180ex \x1c\x85\u2028\U00031350 \U0001df2ba \U00011f04's \u0e01\u0e33 1\u0669\u00b2" * 30, "z" * 20_000,
     ]
     return spark.createDataFrame([*enumerate(texts), (None, "no id"), (3, None), (18, "A" * 3000)], "doc_id long, text string")
 
