@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is split by the tokenizer's pattern. A piece that is a token is that token; any other one
-is the array of its bytes' tokens, over which `aggregate` folds the merges: in each step the
-leftmost pair of the lowest rank becomes one token. Ranks come from a literal map from pairs of tokens
-to the rank of the merged token, cut into BUCKETS small maps since Spark reads a map from end to end.
+A text is split by the tokenizer's pattern. A piece is the array of its bytes' tokens, over which
+`aggregate` folds the merges: in each step the leftmost pair of the lowest rank becomes one token.
+Ranks come from a literal map from pairs of tokens to the rank of the merged token. A Spark map is read
+from end to end, so the literal is an array in which every pair has a slot of its own (`Slots`).
 
-Distinct frequent words are encoded once and put in a second literal map, of at most
-DICTIONARY_ROWS words and WORD_BYTES bytes each, with all tokens that are texts. It only saves time: words outside it
-are folded where they stand. Decoding joins the tokens' bytes.
+Distinct frequent words are folded once and put in a second literal of that kind, of at most
+DICTIONARY_ROWS words and WORD_BYTES bytes each. It only saves time: words outside it
+are folded where they stand. Tokens that no merges lead to are words of it too. A piece of more than
+FOLD_BYTES bytes, where the fold would copy its array again and again, is merged with a heap in an
+Arrow UDF that gets such pieces only. Decoding joins the tokens' bytes.
 
 Null texts are empty and have no tokens. Rows are independent, so repeated rows and null ids
 keep one result each.
@@ -16,21 +18,24 @@ keep one result each.
 from __future__ import annotations
 
 import base64
-import json
+import heapq
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklog.llm.common import stored, texts
 
-BUCKETS = 1 << 15
-BUCKETS_PRIME = 32_749  # the largest prime below BUCKETS
-DICTIONARY_ROWS = 1 << 16
+DICTIONARY_ROWS = 1 << 17
 WORD_BYTES = 64
-#: Stands for the rank of a pair that is not merged.
-NONE = 1 << 30
+FOLD_BYTES = 512
+#: Pairs that are not merged have ranks from here on.
+NONE = 1 << 20
+#: Stands between the words in the text of a literal; words that hold it are not put in one.
+BETWEEN = "\x01"
 
 # Fixed value: the characters that Unicode counts as white space.
 WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -41,45 +46,124 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
 
 
+class Slots:
+    """A slot of its own for each of some different 64-bit numbers, by hash and displace.
+
+    Numbers are dealt to buckets, and each bucket, the fullest ones first, gets the first displacement
+    that takes all its numbers to free slots. Half of the slots stay free.
+    """
+
+    SPREAD = 0x9E3779B97F
+
+    def __init__(self, numbers: Iterable[int]):
+        numbers = list(numbers)
+        self.size = 2 * len(numbers) + 1
+        self.buckets = len(numbers) // 4 + 1
+        dealt = defaultdict(list)
+        for number in numbers:
+            dealt[number % self.buckets].append(number)
+        self.of: dict[int, int] = {}
+        taken, moves = bytearray(self.size), [0] * self.buckets
+        for bucket in sorted(dealt, key=lambda b: -len(dealt[b])):
+            for move in count():
+                places = [(number ^ (move * self.SPREAD)) % self.size for number in dealt[bucket]]
+                if len(set(places)) == len(places) and not any(taken[p] for p in places):
+                    break
+            moves[bucket] = move * self.SPREAD
+            for number, place in zip(dealt[bucket], places, strict=True):
+                self.of[number], taken[place] = place, 1
+        self.moves = _numbers(moves, "bigint")
+
+    def slot(self, number: Column) -> Column:
+        move = F.get(self.moves, F.pmod(number, F.lit(self.buckets).cast("long")).cast("int"))
+        return F.pmod(number.bitwiseXOR(move), F.lit(self.size).cast("long")).cast("int")
+
+
+def merged_by_heap(piece: bytes, tokens: dict[bytes, int]) -> list[int]:
+    """The tokens of one piece, by merging the leftmost pair of lowest rank until none is left."""
+    whole = tokens.get(piece)
+    return [whole] if whole is not None else _merged(piece, tokens)
+
+
+def _merged(piece: bytes, tokens: dict[bytes, int]) -> list[int]:
+    size = len(piece)
+    end = list(range(1, size + 1))  # of the token that starts here; 0 where none does any more
+    before = list(range(-1, size))
+    heap = [(tokens[piece[i : i + 2]], i, i + 2) for i in range(size - 1) if piece[i : i + 2] in tokens]
+    heapq.heapify(heap)
+
+    def offer(at: int) -> None:
+        if end[at] < size:
+            to = end[end[at]]
+            rank = tokens.get(piece[at:to])
+            if rank is not None:
+                heapq.heappush(heap, (rank, at, to))
+
+    while heap:
+        _, at, to = heapq.heappop(heap)
+        middle = end[at]
+        if not middle or middle >= size or end[middle] != to or middle == to:
+            continue  # one of the two has been merged since
+        end[at], end[middle] = to, 0
+        if to < size:
+            before[to] = at
+        offer(at)
+        if before[at] >= 0:
+            offer(before[at])
+    found, at = [], 0
+    while at < size:
+        found.append(tokens[piece[at : end[at]]])
+        at = end[at]
+    return found
+
+
 class Vocabulary:
     """Ranks of a tokenizer file and the literals made from them."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.tokens = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+        top = max(self.tokens.values()) + 1
+        if top > NONE:
+            raise ValueError(f"a vocabulary of {top} ranks; the literal rank map holds {NONE}")
         self.pattern = java_pattern(pattern)
-        pairs: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+        pairs: dict[int, int] = {}
         for token, rank in self.tokens.items():
             for cut in range(1, len(token)):
                 left, right = self.tokens.get(token[:cut]), self.tokens.get(token[cut:])
                 if left is not None and right is not None:
-                    key = (left << 20) | right
-                    pairs[key % BUCKETS_PRIME][key] = rank
-        self.ranks = F.from_json(F.lit(json.dumps(pairs)), "array<map<string,int>>").cast("array<map<bigint,int>>")
-        self.bytes = _numbers([self.tokens[bytes([b])] for b in range(256)], "int")
+                    pairs[(left << 20) | right] = rank
+        self.slots = Slots(pairs)
+        ranks = [1 << 61] * self.slots.size
+        for pair, rank in pairs.items():
+            ranks[self.slots.of[pair]] = (pair << 20) | rank
+        self.ranks = _numbers(ranks, "bigint")
+        self.bytes = _numbers([self.tokens[bytes([b])] for b in range(256)], "bigint")
         by_rank = defaultdict(str, {rank: token.hex() for token, rank in self.tokens.items()})
-        top = max(self.tokens.values()) + 1
         self.texts = _numbers([by_rank[rank] for rank in range(top)], "string")
         self.little_endian = _numbers([rank.to_bytes(4, "little").hex() for rank in range(top)], "string")
 
     def rank(self, left: Column, right: Column) -> Column:
-        key = F.shiftleft(left.cast("long"), 20).bitwiseOR(right.cast("long"))
-        return F.coalesce(F.get(self.ranks, (key % BUCKETS_PRIME).cast("int"))[key], F.lit(NONE))
+        """The rank of a pair; a number of NONE or more if its slot holds another pair or none."""
+        pair = F.shiftleft(left, 20).bitwiseOR(right)
+        return F.get(self.ranks, self.slots.slot(pair)).bitwiseXOR(F.shiftleft(pair, 20))
 
-    def whole(self) -> list[tuple[str, list[int]]]:
-        """The tokens that are texts by themselves."""
+    def unreached(self) -> list[tuple[str, list[int]]]:
+        """The tokens that are texts by themselves but not what merging their bytes leads to."""
         found = []
         for token, rank in self.tokens.items():
-            try:
-                found.append((token.decode(), [rank]))
-            except UnicodeDecodeError:
-                continue
+            if len(token) > 1 and _merged(token, self.tokens) != [rank]:
+                try:
+                    found.append((token.decode(), [rank]))
+                except UnicodeDecodeError:
+                    continue
         return found
 
 
-def _numbers(values: list, kind: str) -> Column:
+def _numbers(values: Iterable, kind: str, between: str = ",") -> Column:
     """A literal array, parsed once while the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    array = F.split(F.lit(between.join(map(str, values))), between)
+    return array if kind == "string" else array.cast(f"array<{kind}>")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -92,11 +176,11 @@ def fold(piece: Column, vocabulary: Vocabulary) -> Column:
 
     The state holds the tokens, the ranks of their pairs before and after a gap, and the few tokens
     `low`, `low + 1`, ... of the gap whose pairs are still to be ranked: all at first, later those
-    around the last merge. The rank map stands in the expression once.
+    around the last merge; `low` is 0 when no pair is left. The rank map stands in the expression once.
     """
     letters = F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), "")
     start = F.transform(letters, lambda c: F.get(vocabulary.bytes, F.ascii(c)))
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<bigint>")
 
     def state(ids: Column, left: Column, right: Column, low: Column, count: Column) -> Column:
         return F.struct(ids.alias("ids"), left.alias("left"), right.alias("right"), low.alias("low"), count.alias("count"))
@@ -112,18 +196,18 @@ def fold(piece: Column, vocabulary: Vocabulary) -> Column:
         fresh = F.zip_with(F.slice(gap, F.lit(1), s["count"] - 1), F.slice(gap, F.lit(2), s["count"] - 1), vocabulary.rank)
 
         def lowest(ranks: Column) -> Column:
-            done = state(s["ids"], ranks, none, F.lit(1), F.lit(1))
+            done = state(s["ids"], none, none, F.lit(0), F.lit(0))
             return let(
                 F.array_min(ranks),
                 lambda rank: F.when(rank >= NONE, done).otherwise(let(F.array_position(ranks, rank).cast("int"), lambda at: merged(s["ids"], ranks, rank, at))),
             )
 
-        return let(F.concat(s["left"], fresh, s["right"]), lowest)
+        return F.when(s["low"] == 0, s).otherwise(let(F.concat(s["left"], fresh, s["right"]), lowest))
 
     def folded(ids: Column) -> Column:
         return F.aggregate(F.slice(ids, 2, F.size(ids)), state(ids, none, none, F.lit(1), F.size(ids)), step, lambda s: s["ids"])
 
-    return let(start, lambda ids: F.when(F.size(ids) > 1, folded(ids)).otherwise(ids))
+    return let(start, lambda ids: F.when(F.size(ids) > 1, folded(ids)).otherwise(ids)).cast("array<int>")
 
 
 def pieces(text: Column, vocabulary: Vocabulary) -> Column:
@@ -145,36 +229,63 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, rows: int = DICTIONA
 
 
 class Dictionary:
-    """A literal map from pieces (piece, ids) to their tokens, in small maps by hash."""
+    """A literal map from pieces (piece, ids) to their tokens: words by slot, and where their tokens are."""
 
     def __init__(self, words: DataFrame):
-        entries = F.to_json(F.map_from_entries(F.collect_list(F.struct("piece", "ids"))))
-        parts = words.groupBy(self.bucket(F.col("piece")).alias("bucket")).agg(entries.alias("entries"))
-        buckets = ["{}"] * BUCKETS
-        for row in parts.toLocalIterator():  # at most DICTIONARY_ROWS words and the vocabulary
-            buckets[row["bucket"]] = row["entries"]
-        self.words = F.from_json(F.lit(f"[{','.join(buckets)}]"), "array<map<string,array<int>>>")
-
-    @staticmethod
-    def bucket(piece: Column) -> Column:
-        return F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")
+        rows = words.select("piece", F.xxhash64("piece").alias("hash"), "ids").toArrow()  # at most DICTIONARY_ROWS and the unreached tokens
+        entries = {h: (p, ids) for p, h, ids in zip(*(rows.column(name).to_pylist() for name in ("piece", "hash", "ids")), strict=True) if BETWEEN not in p}
+        self.slots = Slots(entries)
+        by_slot = {self.slots.of[h]: entry for h, entry in entries.items()}
+        pieces, starts, ids = [], [1], []
+        for slot in range(self.slots.size):
+            piece, own = by_slot.get(slot, ("", ()))
+            pieces.append(piece)
+            ids.extend(own)
+            starts.append(len(ids) + 1)
+        self.pieces, self.starts, self.ids = _numbers(pieces, "string", BETWEEN), _numbers(starts, "int"), _numbers(ids or [0], "int")
 
     def get(self, piece: Column) -> Column:
-        return F.get(self.words, self.bucket(piece))[piece]
+        def found(slot: Column) -> Column:
+            start = F.get(self.starts, slot)
+            return F.when(F.get(self.pieces, slot) == piece, F.slice(self.ids, start, F.get(self.starts, slot + 1) - start))
+
+        return let(self.slots.slot(F.xxhash64(piece)), found)
 
 
 def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> Dictionary:
-    whole = docs.sparkSession.createDataFrame(vocabulary.whole(), "piece string, ids array<int>")
-    frequent = frequent_words(docs, vocabulary).join(whole.select("piece"), "piece", "left_anti")
-    return Dictionary(frequent.unionByName(whole))
+    words = frequent_words(docs, vocabulary)
+    unreached = vocabulary.unreached()
+    if unreached:
+        others = docs.sparkSession.createDataFrame(unreached, "piece string, ids array<int>")
+        words = words.join(others.select("piece"), "piece", "left_anti").unionByName(others)
+    return Dictionary(words)
+
+
+def long_folder(docs: DataFrame, vocabulary: Vocabulary) -> Callable[[Column], Column]:
+    """The tokens of each piece of an array of long pieces."""
+    tokens = docs.sparkSession.sparkContext.broadcast(vocabulary.tokens)
+
+    @F.pandas_udf("array<array<int>>")
+    def folded(column: pd.Series) -> pd.Series:
+        return column.map(lambda found: [merged_by_heap(piece.encode(), tokens.value) for piece in found])
+
+    return folded
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids): the tokens of every text."""
     rows = texts(docs)
     known = dictionary(rows, vocabulary)
-    ids = F.transform(pieces(F.col("text"), vocabulary), lambda p: F.coalesce(known.get(p), fold(p, vocabulary)))
-    return rows.select("doc_id", F.flatten(ids).alias("ids"))
+    split = rows.select("doc_id", pieces(F.col("text"), vocabulary).alias("pieces"))
+    long = F.array_distinct(F.filter("pieces", lambda p: F.octet_length(p) > FOLD_BYTES))
+    split = split.withColumn("long", long).withColumn("long_ids", long_folder(docs, vocabulary)(F.col("long")))
+
+    def ids(piece: Column) -> Column:
+        heaped = F.get(F.col("long_ids"), (F.array_position(F.col("long"), piece) - 1).cast("int"))
+        other = F.when(F.octet_length(piece) > FOLD_BYTES, heaped).otherwise(fold(piece, vocabulary))
+        return F.coalesce(known.get(piece), other)
+
+    return split.select("doc_id", F.flatten(F.transform("pieces", ids)).alias("ids"))
 
 
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:

@@ -194,6 +194,32 @@ def test_bpe_equals_the_tiktoken_library(spark, small, documents):
         assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_of_one_long_piece(spark):
+    """Pieces of more than FOLD_BYTES are merged with a heap; one of a million letters takes seconds."""
+    import public_tokenizers
+    import tiktoken
+
+    vocabulary = byte_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.tokens, special_tokens={})
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("etaoinshé", k=n)) for n in (500, 513, 20_000)] + ["aé" * 4000 + " b " + "z" * 700 + " end"]
+    frame = spark.createDataFrame([*enumerate(texts), (9, "x" * 1_000_000)], "doc_id long, text string")
+    got = by_id(bpe.round_trip(frame, vocabulary))
+    for i, text in enumerate(texts):
+        ids = library.encode_ordinary(text)
+        assert got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+    assert got[9].decoded_sha256 == hashlib.sha256(b"x" * 1_000_000).hexdigest()
+
+
+def test_slots_hold_every_number_apart():
+    draw = random.Random(6)
+    for size in (0, 1, 2, 3000):
+        numbers = {draw.randrange(-(1 << 63), 1 << 63) for _ in range(size)}
+        slots = bpe.Slots(numbers)
+        assert set(slots.of) == numbers and len(set(slots.of.values())) == len(numbers)
+        assert all(0 <= slot < slots.size for slot in slots.of.values())
+
+
 def auc(rows, labels):
     scored = sorted((r.score, labels[i]) for i, r in rows.items() if r.held_out and i in labels)
     good = [k for k, (_, y) in enumerate(scored) if y]
