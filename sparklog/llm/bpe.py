@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparklog.llm.common import stored, texts
 
-DICTIONARY_ROWS = 1 << 17
+DICTIONARY_ROWS = 1 << 16
 WORD_BYTES = 64
 FOLD_BYTES = 512
 #: Pairs that are not merged have ranks from here on.
@@ -127,12 +127,7 @@ class Vocabulary:
         if top > NONE:
             raise ValueError(f"a vocabulary of {top} ranks; the literal rank map holds {NONE}")
         self.pattern = java_pattern(pattern)
-        pairs: dict[int, int] = {}
-        for token, rank in self.tokens.items():
-            for cut in range(1, len(token)):
-                left, right = self.tokens.get(token[:cut]), self.tokens.get(token[cut:])
-                if left is not None and right is not None:
-                    pairs[(left << 20) | right] = rank
+        pairs = self._last_pairs()
         self.slots = Slots(pairs)
         ranks = [1 << 61] * self.slots.size
         for pair, rank in pairs.items():
@@ -148,15 +143,32 @@ class Vocabulary:
         pair = F.shiftleft(left, 20).bitwiseOR(right)
         return F.get(self.ranks, self.slots.slot(pair)).bitwiseXOR(F.shiftleft(pair, 20))
 
-    def unreached(self) -> list[tuple[str, list[int]]]:
+    def _last_pairs(self) -> dict[int, int]:
+        """The pair whose merge makes each token, as one number, and the token's rank.
+
+        The merges within a stretch of a text are those of the stretch alone, as long as none goes over
+        its ends. So a token comes from one pair only, the two tokens left when it is merged without itself.
+        """
+        pairs, self.unreached = {}, []
+        for token, rank in list(self.tokens.items()):
+            if len(token) > 1:
+                del self.tokens[token]
+                parts = _merged(token, self.tokens)
+                self.tokens[token] = rank
+                if len(parts) == 2:
+                    pairs[(parts[0] << 20) | parts[1]] = rank
+                else:
+                    self.unreached.append(token)
+        return pairs
+
+    def unreached_texts(self) -> list[tuple[str, list[int]]]:
         """The tokens that are texts by themselves but not what merging their bytes leads to."""
         found = []
-        for token, rank in self.tokens.items():
-            if len(token) > 1 and _merged(token, self.tokens) != [rank]:
-                try:
-                    found.append((token.decode(), [rank]))
-                except UnicodeDecodeError:
-                    continue
+        for token in self.unreached:
+            try:
+                found.append((token.decode(), [self.tokens[token]]))
+            except UnicodeDecodeError:
+                continue
         return found
 
 
@@ -254,7 +266,7 @@ class Dictionary:
 
 def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> Dictionary:
     words = frequent_words(docs, vocabulary)
-    unreached = vocabulary.unreached()
+    unreached = vocabulary.unreached_texts()
     if unreached:
         others = docs.sparkSession.createDataFrame(unreached, "piece string, ids array<int>")
         words = words.join(others.select("piece"), "piece", "left_anti").unionByName(others)
