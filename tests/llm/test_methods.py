@@ -70,6 +70,41 @@ def test_jaccard_join_of_edited_copies(spark, monkeypatch, least, pivot):
     assert {i: r.component_id for i, r in got.items()} == groups({i: shingles(t) for i, t in docs.items()})
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_jaccard_join_of_copies_far_from_each_other(spark, monkeypatch, rounds):
+    """Copies of one text, many linked to nothing or only to a twin that is as far from the text: no pivot settles them."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", 1)
+    monkeypatch.setattr(jaccard_join, "PIVOT_SIZE", 4)
+    if not rounds:  # not even the text itself is in a component before the last step
+        monkeypatch.setattr(jaccard_join, "pivot_pairs", lambda large: large.select(*[large.node.alias(name) for name in "ab"]).where("a <> b"))
+    draw, texts = random.Random(9), []
+    base = [f"w{draw.randrange(10**6)}" for _ in range(130)]
+
+    def edited(words, edits):
+        words = list(words)
+        for at in draw.sample(range(len(words)), edits):
+            words[at] = f"x{draw.randrange(10**6)}"
+        return words
+
+    for edits in [1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 7, 8, 9] * 5:
+        copy = edited(base, edits)
+        texts += [copy] if edits < 6 else [copy, edited(copy, draw.choice([1, 2, 3]))]
+    draw.shuffle(texts)
+    docs = dict(enumerate(" ".join(words) for words in texts))
+    expected = groups({i: shingles(t) for i, t in docs.items()})
+    assert len(set(expected.values())) > 10
+    found, apart = [], jaccard_join.apart
+
+    def counted(placed, sets):
+        found.append(apart(placed, sets))
+        return found[-1]
+
+    monkeypatch.setattr(jaccard_join, "apart", counted)
+    rows = jaccard_join.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == expected
+    assert len(found) == 1 and found[0].count() < len(docs) * 4
+
+
 def test_signatures_meet(monkeypatch):
     """Any two sets at the threshold share a signature, whatever is frequent."""
     draw = np.random.default_rng(3)
