@@ -100,10 +100,19 @@ def pages_join_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = logs_from_events(spark, sf_dir)
     repeated = logs.where(F.col("user_id") % 5 == 0)
     logs = logs.unionByName(repeated).unionByName(repeated)
-    pages = [paging.page_logs(logs, 997, min_severity="ERROR")]
-    while pages[-1].next_cursor:
-        pages.append(paging.page_logs(logs, 997, pages[-1].next_cursor, min_severity="ERROR"))
-    rows = union_logs([page.rows for page in pages])
+    # The first and the last page by themselves, those in between from the cursor of the first in one pass.
+    pages, between = [paging.page_logs(logs, 997, min_severity="ERROR")], []
+    cursor = pages[0].next_cursor
+    if cursor:
+        following, ends = paging.following_pages(logs, 997, cursor, min_severity="ERROR")
+        last = ends.orderBy(F.desc("page")).first()
+        if last is not None:
+            between.append(following.where(F.col("page") <= last.page).drop("page"))
+            cursor = last.next_cursor
+    while cursor:
+        pages.append(paging.page_logs(logs, 997, cursor, min_severity="ERROR"))
+        cursor = pages[-1].next_cursor
+    rows = union_logs([*(page.rows for page in pages), *between])
     return rows.groupBy("record_id", "time_ns").agg(F.count("*").alias("copies"))
 
 

@@ -9,7 +9,7 @@ from log_fixtures import NOW
 from pyspark.sql import functions as F
 
 from sparklog.functions.tokens import term
-from sparklog.operators.paging import page_logs
+from sparklog.operators.paging import following_pages, page_logs
 from sparklog.operators.safety import cap_whole_record, record_bytes
 
 
@@ -33,6 +33,45 @@ def test_pages_show_every_copy_once(make_logs, limit):
     assert all(len(page) == limit for page in pages[:-1])
 
 
+@pytest.mark.parametrize("limit", [1, 3, 7, 100])
+def test_following_pages_are_the_pages_one_by_one(make_logs, limit):
+    """All pages and cursors in one pass, from the start and from a cursor within a group of copies."""
+    keys = [(NOW + i % 3, f"r{i % 4}é") for i in range(10)] + [(NOW + 1, "same")] * 5 + [(NOW - 9, "last")] * 2
+    logs = make_logs([{"time_ns": t, "record_id": r, "severity": 17} for t, r in keys]).cache()
+    for start in (None, page_logs(logs, 5, min_severity="ERROR").next_cursor):
+        rows, ends = following_pages(logs, limit, start, min_severity="ERROR")
+        found, cursors = {}, {r.page: r.next_cursor for r in ends.collect()}
+        for r in rows.orderBy("page", F.desc("time_ns"), "record_id").collect():
+            found.setdefault(r.page, []).append((r.time_ns, r.record_id))
+        for number in range(len(found) + 1):
+            page = page_logs(logs, limit, cursors[number - 1] if number else start, min_severity="ERROR")
+            assert [(r.time_ns, r.record_id) for r in page.rows.collect()] == found.get(number, [])
+            assert (page.next_cursor is None) == (number not in cursors)
+            if page.next_cursor is None:
+                break
+        assert sum(map(len, found.values())) == (17 if start is None else 12)
+
+
+def test_walk_takes_no_job_for_each_page(spark, tmp_path):
+    """The registered walk runs equally many jobs over 3 pages and over 30."""
+    from sparklog.plans.reads import pages_join_up
+
+    def jobs(n: int) -> int:
+        folder = tmp_path / str(n)
+        rows = spark.range(n).selectExpr(
+            "id AS event_id", "timestamp_seconds(1705000000 + id) AS ts", "id % 50 * 5 + 1 AS user_id",
+            "'error' AS event_type", "CAST(id AS DOUBLE) AS value", "'{\"k\": 1}' AS props",
+        )
+        rows.write.parquet(str(folder / "events.parquet"))
+        group = f"walk-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert pages_join_up(spark, str(folder)).agg(F.sum("copies")).first()[0] == n
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(30_000) <= jobs(3_000) + 10
+
+
 def test_newer_rows_and_filters(make_logs):
     old = make_logs([{"time_ns": NOW + i, "record_id": str(i), "service": "ab"[i % 2], "message": "hit"} for i in range(8)])
     first = page_logs(old, 2, services=["a"], text=term("hit"))
