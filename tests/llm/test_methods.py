@@ -105,6 +105,19 @@ def test_jaccard_join_of_copies_far_from_each_other(spark, monkeypatch, rounds):
     assert len(found) == 1 and found[0].count() < len(docs) * 4
 
 
+def test_differences_within_one_component_are_not_joined(spark, monkeypatch):
+    """Tokens that only nodes of one component hold beside a pivot give no pair and take no part in the join."""
+    kept, stored = {}, jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    base = set(range(1000, 1100))
+    sets = {1: base, 2: base - {1000} | {1, 3}, 3: base - {1001} | {1, 2}, 4: base - {1002} | {2, 5}}
+    rows = [(node, np.array(sorted(tokens), np.uint64).tobytes()) for node, tokens in sets.items()]
+    placed = [(node, 1, len(sets[node]), 4 if node == 4 else 2) for node in (2, 3, 4)]
+    found = jaccard_join.apart(spark.createDataFrame(placed, "node long, pivot long, n long, label long"), spark.createDataFrame(rows, "node long, tokens binary"))
+    assert {(r.a, r.b) for r in found.collect()} == {(3, 4)}
+    assert {(r.node, r.token) for r in kept["prefixes"].collect()} == {(3, 2), (4, 2)}
+
+
 def test_signatures_meet(monkeypatch):
     """Any two sets at the threshold share a signature, whatever is frequent."""
     draw = np.random.default_rng(3)
