@@ -1,15 +1,17 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding of texts, word by word.
 
-A text is split by the tokenizer's pattern. A piece is the array of its bytes' tokens, over which
-`aggregate` folds the merges: in each step the leftmost pair of the lowest rank becomes one token.
-Ranks come from a literal map from pairs of tokens to the rank of the merged token. A Spark map is read
-from end to end, so the literal is an array in which every pair has a slot of its own (`Slots`).
+A text is split by the tokenizer's pattern. Words are encoded once each, not at every occurrence: in a
+Python worker the pieces of a batch are numbered by word, and the tokens of the words put in their places.
 
-Distinct frequent words are folded once and put in a second literal of that kind, of at most
-DICTIONARY_ROWS words and WORD_BYTES bytes each. It only saves time: words outside it
-are folded where they stand. Tokens that no merges lead to are words of it too. A piece of more than
-FOLD_BYTES bytes, where the fold would copy its array again and again, is merged with a heap in an
-Arrow UDF that gets such pieces only. Decoding joins the tokens' bytes.
+Distinct frequent words, DICTIONARY_ROWS at most of WORD_BYTES bytes each, are folded once for all texts
+with Spark's higher-order functions: a piece is the array of its bytes' tokens, over which `aggregate`
+folds the merges; in each step the leftmost pair of the lowest rank becomes one token. Ranks come from
+a literal map from pairs of tokens to the rank of the merged token. A Spark map is read from end to end, so
+the literal is an array in which every pair has a slot of its own (`Slots`).
+
+The dictionary only saves time. Other words are merged in the worker by the same slots, all words of a
+batch and a length at once (`Merges`). Tokens that no merges lead to are words of the dictionary too. A
+piece of more than FOLD_BYTES bytes is merged with a heap. Decoding joins the tokens' bytes.
 
 Null texts are empty and have no tokens. Rows are independent, so repeated rows and null ids
 keep one result each.
@@ -18,12 +20,16 @@ keep one result each.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +40,8 @@ WORD_BYTES = 64
 FOLD_BYTES = 512
 #: Pairs that are not merged have ranks from here on.
 NONE = 1 << 20
-#: Stands between the words in the text of a literal; words that hold it are not put in one.
-BETWEEN = "\x01"
+#: Bytes of words merged at once, and pieces whose tokens are put in place at once.
+CELLS, PLACED = 1 << 20, 1 << 20
 
 # Fixed value: the characters that Unicode counts as white space.
 WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -72,6 +78,7 @@ class Slots:
             moves[bucket] = move * self.SPREAD
             for number, place in zip(dealt[bucket], places, strict=True):
                 self.of[number], taken[place] = place, 1
+        self.shifts = moves
         self.moves = _numbers(moves, "bigint")
 
     def slot(self, number: Column) -> Column:
@@ -132,11 +139,9 @@ class Vocabulary:
         ranks = [1 << 61] * self.slots.size
         for pair, rank in pairs.items():
             ranks[self.slots.of[pair]] = (pair << 20) | rank
+        self.by_slot = ranks
         self.ranks = _numbers(ranks, "bigint")
         self.bytes = _numbers([self.tokens[bytes([b])] for b in range(256)], "bigint")
-        by_rank = defaultdict(str, {rank: token.hex() for token, rank in self.tokens.items()})
-        self.texts = _numbers([by_rank[rank] for rank in range(top)], "string")
-        self.little_endian = _numbers([rank.to_bytes(4, "little").hex() for rank in range(top)], "string")
 
     def rank(self, left: Column, right: Column) -> Column:
         """The rank of a pair; a number of NONE or more if its slot holds another pair or none."""
@@ -172,10 +177,9 @@ class Vocabulary:
         return found
 
 
-def _numbers(values: Iterable, kind: str, between: str = ",") -> Column:
+def _numbers(values: Iterable[int], kind: str) -> Column:
     """A literal array, parsed once while the plan is made."""
-    array = F.split(F.lit(between.join(map(str, values))), between)
-    return array if kind == "string" else array.cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -240,78 +244,129 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, rows: int = DICTIONA
     return counted.where(F.col("level") >= least).select("piece", fold(F.col("piece"), vocabulary).alias("ids"))
 
 
-class Dictionary:
-    """A literal map from pieces (piece, ids) to their tokens: words by slot, and where their tokens are."""
-
-    def __init__(self, words: DataFrame):
-        rows = words.select("piece", F.xxhash64("piece").alias("hash"), "ids").toArrow()  # at most DICTIONARY_ROWS and the unreached tokens
-        entries = {h: (p, ids) for p, h, ids in zip(*(rows.column(name).to_pylist() for name in ("piece", "hash", "ids")), strict=True) if BETWEEN not in p}
-        self.slots = Slots(entries)
-        by_slot = {self.slots.of[h]: entry for h, entry in entries.items()}
-        pieces, starts, ids = [], [1], []
-        for slot in range(self.slots.size):
-            piece, own = by_slot.get(slot, ("", ()))
-            pieces.append(piece)
-            ids.extend(own)
-            starts.append(len(ids) + 1)
-        self.pieces, self.starts, self.ids = _numbers(pieces, "string", BETWEEN), _numbers(starts, "int"), _numbers(ids or [0], "int")
+class Merges:
+    """The tokens of many pieces at once in a Python worker; `words` (piece, ids) are known before."""
 
-    def get(self, piece: Column) -> Column:
-        def found(slot: Column) -> Column:
-            start = F.get(self.starts, slot)
-            return F.when(F.get(self.pieces, slot) == piece, F.slice(self.ids, start, F.get(self.starts, slot + 1) - start))
+    def __init__(self, vocabulary: Vocabulary, words: pa.Table):
+        self.tokens = vocabulary.tokens
+        self.bytes = np.array([self.tokens[bytes([b])] for b in range(256)], np.int32)
+        self.shifts, self.by_slot = np.array(vocabulary.slots.shifts, np.int64), np.array(vocabulary.by_slot, np.int64)
+        by_rank = defaultdict(bytes, {rank: token for token, rank in self.tokens.items()})
+        self.texts = pa.array([by_rank[rank] for rank in range(max(by_rank) + 1)], pa.binary())
+        self.known = pa.array(words.column("piece").to_pylist(), pa.string())
+        self.known_ids = pa.array(words.column("ids").to_pylist(), pa.list_(pa.int32()))
 
-        return let(self.slots.slot(F.xxhash64(piece)), found)
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs; NONE where a pair is not merged."""
+        pair = (left.astype(np.int64) << 20) | right
+        slot = (pair ^ self.shifts[pair % len(self.shifts)]) % len(self.by_slot)
+        return np.minimum(self.by_slot[slot] ^ (pair << 20), NONE).astype(np.int32)
 
+    def _merged(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of `ids`, the bytes of a piece each, and their tokens, by number of tokens.
 
-def dictionary(docs: DataFrame, vocabulary: Vocabulary) -> Dictionary:
+        In each round every row that is left merges its leftmost pair of lowest rank, so all keep one length.
+        """
+        rows, ranks = np.arange(len(ids)), self.rank(ids[:, :-1], ids[:, 1:])
+        while len(rows) and ids.shape[1] > 1:
+            at = ranks.argmin(axis=1)
+            rank = ranks[np.arange(len(rows)), at]
+            more = rank < NONE
+            if not more.all():
+                yield rows[~more], ids[~more]
+                rows, ids, ranks, at, rank = rows[more], ids[more], ranks[more], at[more], rank[more]
+            size, width = ids.shape
+            ids[np.arange(size), at] = rank
+            ids = ids[np.arange(width) != at[:, None] + 1].reshape(size, width - 1)
+            ranks = ranks[np.arange(width - 1) != at[:, None]].reshape(size, width - 2)
+            for changed, low in ((np.flatnonzero(at > 0), at - 1), (np.flatnonzero(at < width - 2), at)):
+                low = low[changed]
+                ranks[changed, low] = self.rank(ids[changed, low], ids[changed, low + 1])
+        yield rows, ids
+
+    def fold(self, pieces: pa.Array) -> pa.ListArray:
+        """The tokens of each piece."""
+        pieces = pa.concat_arrays([pieces.cast(pa.large_binary())])  # from offset 0
+        _, offsets, data = pieces.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(pieces) + 1] if offsets else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        sizes = np.diff(offsets)
+        order = np.argsort(sizes, kind="stable")
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for own in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            size = int(sizes[own[0]]) if len(own) else 0
+            if size > FOLD_BYTES:
+                found += [(own[k : k + 1], np.array([merged_by_heap(pieces[int(own[k])].as_py(), self.tokens)], np.int32)) for k in range(len(own))]
+                continue
+            step = CELLS // max(size, 1)
+            for some in (own[low : low + step] for low in range(0, len(own), step)):
+                letters = self.bytes[data[offsets[some][:, None] + np.arange(size)]]
+                found += [(some[rows], ids) for rows, ids in self._merged(letters)]
+        lengths = np.zeros(len(pieces) + 1, np.int64)
+        for rows, ids in found:
+            lengths[rows + 1] = ids.shape[1]
+        starts = np.cumsum(lengths)
+        tokens = np.zeros(starts[-1], np.int32)
+        for rows, ids in found:
+            tokens[starts[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tokens))
+
+    def documents(self, pieces: pa.ListArray) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+        """(from, to, tokens, bounds): the tokens of some of the documents one after the other, and where each begins."""
+        ends = np.asarray(pieces.offsets, np.int64) - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        words = coded.dictionary
+        at = pc.index_in(words, value_set=self.known)
+        missing = np.asarray(pc.is_null(at))
+        place = np.where(missing, len(self.known) + np.cumsum(missing) - 1, np.asarray(at.fill_null(0)))
+        every = pa.concat_arrays([self.known_ids, self.fold(words.filter(pa.array(missing)))]).take(pa.array(place))
+        low = 0
+        while low < len(pieces):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + PLACED, "right")) - 1)
+            own = every.take(coded.indices.slice(ends[low], ends[high] - ends[low]))
+            bounds = np.asarray(own.offsets, np.int64) - own.offsets[0].as_py()
+            yield low, high, own.flatten(), bounds[ends[low : high + 1] - ends[low]]
+            low = high
+
+
+def merges_of(docs: DataFrame, vocabulary: Vocabulary) -> Broadcast:
+    """The vocabulary with the dictionary of these documents, for the workers."""
     words = frequent_words(docs, vocabulary)
     unreached = vocabulary.unreached_texts()
     if unreached:
         others = docs.sparkSession.createDataFrame(unreached, "piece string, ids array<int>")
         words = words.join(others.select("piece"), "piece", "left_anti").unionByName(others)
-    return Dictionary(words)
-
-
-def long_folder(docs: DataFrame, vocabulary: Vocabulary) -> Callable[[Column], Column]:
-    """The tokens of each piece of an array of long pieces."""
-    tokens = docs.sparkSession.sparkContext.broadcast(vocabulary.tokens)
+    # at most DICTIONARY_ROWS and the unreached tokens
+    return docs.sparkSession.sparkContext.broadcast(Merges(vocabulary, words.toArrow()))
 
-    @F.pandas_udf("array<array<int>>")
-    def folded(column: pd.Series) -> pd.Series:
-        return column.map(lambda found: [merged_by_heap(piece.encode(), tokens.value) for piece in found])
 
-    return folded
+def split(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, pieces) of every text."""
+    return docs.select("doc_id", pieces(F.col("text"), vocabulary).alias("pieces"))
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids): the tokens of every text."""
-    rows = texts(docs)
-    known = dictionary(rows, vocabulary)
-    split = rows.select("doc_id", pieces(F.col("text"), vocabulary).alias("pieces"))
-    long = F.array_distinct(F.filter("pieces", lambda p: F.octet_length(p) > FOLD_BYTES))
-    split = split.withColumn("long", long).withColumn("long_ids", long_folder(docs, vocabulary)(F.col("long")))
-
-    def ids(piece: Column) -> Column:
-        heaped = F.get(F.col("long_ids"), (F.array_position(F.col("long"), piece) - 1).cast("int"))
-        other = F.when(F.octet_length(piece) > FOLD_BYTES, heaped).otherwise(fold(piece, vocabulary))
-        return F.coalesce(known.get(piece), other)
-
-    return split.select("doc_id", F.flatten(F.transform("pieces", ids)).alias("ids"))
-
-
-def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The bytes that the tokens stand for."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(vocabulary.texts, i)), ""))
+def decoded(ids: pa.Array, bounds: np.ndarray, tokens: pa.Array) -> Iterator[memoryview]:
+    """The bytes that the tokens of each document stand for."""
+    own = tokens.take(ids)
+    _, offsets, data = own.buffers()
+    ends = np.frombuffer(offsets, np.int32)[own.offset : own.offset + len(own) + 1][bounds] if len(own) else np.zeros(len(bounds), np.int32)
+    data = memoryview(data or b"")
+    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield data[low:high]
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Counts and digests of the tokens of every text and of what they decode to."""
-    ids = F.col("ids")
-    packed = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(vocabulary.little_endian, i)), ""))
-    return encoded(docs, vocabulary).select(
-        "doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(packed, 256).alias("ids_sha256"),
-        F.sha2(decoded(ids, vocabulary), 256).alias("decoded_sha256"),
-    )
+    rows = texts(docs)
+    shared = merges_of(rows, vocabulary)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, ids, bounds in shared.value.documents(batch.column(1)):
+                little_endian = memoryview(np.asarray(ids).astype("<u4")).cast("B")
+                packed = [hashlib.sha256(little_endian[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                texts_of = [hashlib.sha256(text).hexdigest() for text in decoded(ids, bounds, shared.value.texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(bounds)), pa.array(packed, pa.string()), pa.array(texts_of, pa.string())], names)
+
+    return split(rows, vocabulary).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

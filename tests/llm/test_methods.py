@@ -9,6 +9,7 @@ import struct
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparklog.llm import bpe, fm_index, jaccard_join, license_rules, license_scan, pii, simhash
@@ -259,6 +260,27 @@ def test_bpe_of_one_long_piece(spark):
     assert got[9].decoded_sha256 == hashlib.sha256(b"x" * 1_000_000).hexdigest()
 
 
+def test_bpe_merges_each_word_of_a_batch_once(spark, monkeypatch):
+    """Words outside the dictionary are not folded at every occurrence, and come out as by merging them alone."""
+    vocabulary = byte_vocabulary()
+    words = pa.table({"piece": ["known"], "ids": pa.array([[1, 2, 3]], pa.list_(pa.int32()))})
+    merges = bpe.Merges(vocabulary, words)
+    draw = random.Random(8)
+    pieces = sorted({"".join(draw.choices("etaoinshréж \U0001f600", k=draw.choice((1, 2, 3, 9, 30, 200, 700)))) for _ in range(400)})
+    assert merges.fold(pa.array(pieces)).to_pylist() == [bpe._merged(p.encode(), vocabulary.tokens) for p in pieces]
+    assert merges.fold(pa.array([], pa.string())).to_pylist() == []
+    monkeypatch.setattr(bpe, "PLACED", 7)
+    folded, fold = [], merges.fold
+    merges.fold = lambda given: folded.extend(given.to_pylist()) or fold(given)
+    docs = [draw.choices([*pieces[:20], "known"], k=draw.randrange(12)) for _ in range(300)] + [[], pieces[:1] * 40]
+    found = [(ids.to_pylist(), bounds) for _, _, ids, bounds in merges.documents(pa.array([["before"], *docs], pa.list_(pa.string())).slice(1))]
+    got = [ids[a:b] for ids, bounds in found for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [[i for p in doc for i in ([1, 2, 3] if p == "known" else bpe._merged(p.encode(), vocabulary.tokens))] for doc in docs]
+    assert sorted(folded) == pieces[:20]
+    plan = bpe.round_trip(spark.createDataFrame([(1, "a text")], "doc_id long, text string"), vocabulary)
+    assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_slots_hold_every_number_apart():
     draw = random.Random(6)
     for size in (0, 1, 2, 3000):
